@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, simhash
-from .common import read_table
+from . import bpe, exact_dedup, jpeg_media, mixing, sharding, simhash, token_shards, toxicity, url_filter, warc
+from .common import read_table, shared_folder
 
 SHARDS = 24
+END_OF_TEXT = 50256
+RULES = [
+    url_filter.Rule("block", "net/"),
+    url_filter.Rule("allow", "example.net/en/"),
+    url_filter.Rule("block", "example.com/de/"),
+    url_filter.Rule("allow", "org/fr/"),
+]
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +35,22 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit_on_labels(docs, labels)
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_shards.write_shards(docs, tokenizer_path(), END_OF_TEXT, shared_folder(spark, "shards"))
+    return token_shards.read_back(manifest)
+
+
+def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mark_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
@@ -31,15 +61,43 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.read_media(jpeg_media.add_media(read_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(read_table(spark, sf_dir, "pages"))
+
+
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.mark_near_duplicates(read_table(spark, sf_dir, "documents"))
     return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+QUERIES = (
+    op1_hilbert_shards, op2_subword_toxicity, op3_training_order, op4_speculative_bpe, op5_pareto_mix,
+    op6_content_sort, op7_jpeg_media, op8_warc_revisits, op9_template_tree, op10_gray_simhash,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op5_pareto_mix, op6_content_sort, op10_gray_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
@@ -88,4 +146,4 @@ FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": OP5_SQL, "op6_content_sort": OP6_SQL}
+    return {"op5_pareto_mix": OP5_SQL, "op6_content_sort": OP6_SQL, "op8_warc_revisits": OP8_SQL}
