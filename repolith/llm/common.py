@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch that become Python objects at a time.
+SLICE_ROWS = 256
+
+
+def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in runs of a few hundred rows, each with the texts of a column; null texts come empty."""
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+
+
+def release_memory() -> None:
+    """Gives freed memory back when a task ends: workers are reused, and an idle one keeps what it had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

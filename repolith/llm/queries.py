@@ -20,11 +20,11 @@ RULES = [
 ]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public byte-level vocabulary; every operator takes the path as a parameter."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = token_shards.write_shards(docs, tokenizer_path(), END_OF_TEXT, shared_folder(spark, "shards"))
+    manifest = token_shards.write_shards(docs, tokenizer_path("byte_bpe_50k.tiktoken"), END_OF_TEXT, shared_folder(spark, "shards"))
     return token_shards.read_back(manifest)
 
 

@@ -1,6 +1,6 @@
 """Token shards in training order.
 
-Texts are tokenised once and cut into sequences of a fixed length. A keyed permutation of 0..N-1 gives every
+Texts are tokenised and cut into sequences of a fixed length. A keyed permutation of 0..N-1 gives every
 sequence its slot in the training order: a Feistel network on the smallest even number of bits that holds
 N, applied again while its result is not below N (cycle walking). The permutation needs no table and no
 sort, and its inverse finds any slot's sequence. Slots are dealt by range to shard files of fixed-stride
@@ -11,18 +11,21 @@ A record is a header (identifier, place in the document, tokens in use) and the
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import cut, shared_folder
+from .common import cut, release_memory, text_slices
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -30,7 +33,7 @@ KEY = "training-order-1"
 ROUNDS = 6
 NO_ID = np.iinfo(np.int64).min
 HEADER = np.dtype([("id", "<i8"), ("part", "<i4"), ("used", "<i4")])
-#: Offsets of the tokenised table's partitions are broadcast: 16 bytes a partition, checked against this.
+#: Offsets of the input's partitions are broadcast: some tens of bytes a partition, checked against this.
 MOST_PARTITIONS = 2_000_000
 
 
@@ -67,66 +70,69 @@ class FeistelPermutation:
         return self.walk(slot, back=True)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end: int, length: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, tokens (binary), sequences, partition, before``: before counts the partition's earlier sequences."""
-    spec = docs.sparkSession.sparkContext.broadcast(bpe.read_spec(tokenizer))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, partition = bpe.loaded(spec.value), 0, TaskContext.get().partitionId()
-        wide = np.dtype("<u2") if len(encoder.tokens) <= 1 << 16 else np.dtype("<u4")
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in bpe.slices(texts):
-                ids = encoder.encode_batch(texts[part])
-                n = np.array([-(-(len(i) + 1) // length) for i in ids], np.int64)
-                tokens = [np.append(i, end).astype(wide).tobytes() for i in ids]
-                upto = before + np.cumsum(n)
-                columns = [batch.column(0)[part.start : part.stop], pa.array(tokens, pa.binary()), pa.array(n), pa.array(np.full(len(n), partition)), pa.array(upto - n)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "sequences", "partition", "before"])
-                before = int(upto[-1])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, tokens binary, sequences long, partition long, before long")
+@functools.lru_cache(2)
+def loaded(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    """One encoder a worker and vocabulary, from a file of base64 tokens with their ranks."""
+    pairs = (line.split() for line in ranks.splitlines() if line)
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end: int, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", pattern: str = bpe.SPLIT) -> DataFrame:
     """Writes the shard files and returns their manifest: ``shard, path, sequences, length, width``.
 
-    Every text gives its tokens and the ``end`` token, cut into sequences of ``length``; null and empty texts
-    give a sequence with the end token alone. Identifiers must be integers; a null one is written as the
-    smallest long. Rows repeat as they come and extra columns are not read. An empty table writes nothing.
-    The order before the permutation is that of the table's partitions, so the same files read with the
-    same split size give the same training order.
+    ``vocabulary`` is a file of base64 tokens and ranks. Every text gives its tokens and the ``end`` token, cut
+    into sequences of ``length``; special tokens spelled in a text are ordinary text, null and empty texts give
+    a sequence with the end token alone. Identifiers must be integers; a null one is written as the smallest
+    long. Rows repeat as they come and extra columns are not read. An empty table writes nothing.
+
+    The permutation needs the number of sequences first, so texts are tokenised twice, once to count and once
+    to write: that costs less than a table of all tokens costs disk. ``docs`` must be a table that reads
+    alike both times; a partition whose count has changed fails the write. The order before the permutation
+    is that of the table's partitions, so the same files read with the same split size give the same order.
     """
     spark = docs.sparkSession
-    where = shared_folder(spark, "tokens")
-    tokenise(docs, tokenizer, end, length, id_col, text_col).write.option("compression", "zstd").parquet(where)
-    tokens = spark.read.parquet(where)
-    parts = tokens.groupBy("partition").agg(F.sum("sequences").alias("n")).orderBy("partition").limit(MOST_PARTITIONS + 1).collect()
+    ranks = spark.sparkContext.broadcast(bpe.read_spec(vocabulary))
+    width = 2 if end < 1 << 16 and loaded(ranks.value, pattern).n_vocab <= 1 << 16 else 4
+    wide = np.dtype("<u2" if width == 2 else "<u4")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, n = loaded(ranks.value, pattern).encode_ordinary, 0
+        for batch in batches:
+            for _, texts in text_slices(batch):
+                n += sum(-(-(len(encode(t)) + 1) // length) for t in texts)
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
+
+    parts = rows.mapInArrow(count, "partition long, n long").where("n > 0").orderBy("partition").limit(MOST_PARTITIONS + 1).collect()
     if len(parts) > MOST_PARTITIONS:
         raise ValueError("too many input partitions for a table of offsets; read with larger splits")
     counts = np.array([p["n"] for p in parts], np.int64)
-    offsets = spark.sparkContext.broadcast(dict(zip([p["partition"] for p in parts], (np.cumsum(counts) - counts).tolist(), strict=True)))
+    starts = spark.sparkContext.broadcast({p["partition"]: (int(at), p["n"]) for p, at in zip(parts, np.cumsum(counts) - counts, strict=True)})
     total = int(counts.sum())
-    width = 2 if len(bpe.loaded(bpe.read_spec(tokenizer)).tokens) <= 1 << 16 else 4
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, size = FeistelPermutation(total, key), length * width
+        encode, order = loaded(ranks.value, pattern).encode_ordinary, FeistelPermutation(total, key)
+        first, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
+        done = 0
         for batch in batches:
-            rows = batch.to_pydict()
-            sequences = np.array(rows["sequences"], np.int64)
-            starts = np.array([offsets.value[p] for p in rows["partition"]], np.int64) + np.array(rows["before"], np.int64)
-            row = np.repeat(np.arange(len(sequences)), sequences)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(sequences) - sequences, sequences)
-            slots = order.slot(np.repeat(starts, sequences) + part)
-            ids = [NO_ID if i is None else i for i in rows["id"]]
-            for at in range(0, len(row), 4096):
+            for some, texts in text_slices(batch, rows=64):
                 records = []
-                for r, p in zip(row[at : at + 4096].tolist(), part[at : at + 4096].tolist(), strict=True):
-                    own = rows["tokens"][r][p * size : (p + 1) * size]
-                    records.append(np.array([(ids[r], p, len(own) // width)], HEADER).tobytes() + own + bytes(size - len(own)))
-                some = slots[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(some // per_shard), pa.array(some), pa.array(records, pa.binary())], ["shard", "slot", "record"])
+                for i, t in zip(some.column(0).to_pylist(), texts, strict=True):
+                    ids = np.array([*encode(t), end], wide)
+                    for part, at in enumerate(range(0, len(ids), length)):
+                        own = ids[at : at + length]
+                        records.append(np.array([(NO_ID if i is None else i, part, len(own))], HEADER).tobytes() + own.tobytes())
+                if done + len(records) > expected:
+                    raise RuntimeError("the input has changed since it was counted")
+                slots = order.slot(first + done + np.arange(len(records)))
+                done += len(records)
+                yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(records, pa.binary())], ["shard", "slot", "record"])
+        if done != expected:
+            raise RuntimeError("the input has changed since it was counted")
+        release_memory()
+
+    stride = HEADER.itemsize + length * width
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard and slot."""
@@ -141,7 +147,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int, folder: str, length:
                             made.append((shard, uri, n))
                         opened, shard, n = files.new_file(folder, f"shard-{s:08d}", ".bin"), s, 0
                         out, uri = opened.__enter__()
-                    out.write(record)
+                    out.write(record.ljust(stride, b"\0"))
                     n += 1
             if opened:
                 opened.__exit__(None, None, None)
@@ -151,7 +157,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int, folder: str, length:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["shard", "path", "sequences"])
 
-    dealt = tokens.mapInArrow(cut_up, "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
+    dealt = rows.mapInArrow(cut_up, "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
     manifest = dealt.mapInArrow(write, "shard long, path string, sequences long")
     return cut(manifest.withColumn("length", F.lit(length)).withColumn("width", F.lit(width)))
 
