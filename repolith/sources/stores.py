@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,32 +56,32 @@ def format_reading(r: dict) -> str:
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
     """Every shard under a path; of several readings of a key the last in a shard holds."""
-    names = [c.split(" ")[0] for c in READING.split(", ")]
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in READING.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch["value"]:
-                rows = {r["reading_id"]: r for r in parse_readings(text)}
-                out = pd.DataFrame(list(rows.values()), columns=names)
-                yield out.astype({"position": "Int64", "spec": "Int64"})
+            for text in batch.column(0).to_pylist():
+                rows = {r["reading_id"]: r for r in parse_readings(text or "")}
+                yield pa.RecordBatch.from_pylist(list(rows.values()), schema)
 
-    return spark.read.option("wholetext", "true").text(path).mapInPandas(run, READING)
+    return spark.read.text(path, wholetext=True).select("value").mapInArrow(run, READING)
 
 
 def write_readings(readings: DataFrame, path: str) -> None:
     """One Markdown shard a top directory: file entries first, then by line and name. Rows keep their order in each shard."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.astype(object).where(batch.notna(), None)
-            yield pd.DataFrame({"shard": batch["shard"], "value": [format_reading(r) for r in batch.to_dict("records")]})
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r["shard"] for r in rows], pa.string()), pa.array(map(format_reading, rows), pa.string())], ["shard", "value"])
 
     key = F.col("reading_id")
     r = readings.withColumn("shard", F.when(F.instr(key, "/") > 0, F.substring_index(key, "/", 1)).otherwise("root"))
     is_file = F.instr(key, "#") == 0
     line = [F.col("line")] if "line" in readings.columns else []
     ordered = r.repartition("shard").sortWithinPartitions("shard", F.substring_index(key, "#", 1), ~is_file, *line, key)
-    ordered.mapInPandas(run, "shard string, value string").write.mode("overwrite").partitionBy("shard").text(path)
+    ordered.mapInArrow(run, "shard string, value string").write.mode("overwrite").partitionBy("shard").text(path)
 
 
 def parse_decisions(lines: list[str]) -> list[dict]:
