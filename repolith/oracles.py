@@ -290,4 +290,25 @@ ORACLES: dict[str, str] = {
     "top_dirs": sql("functions", "SELECT split_part(path, '/', 1) AS dir, count(*) AS functions, count(*) FILTER (WHERE is_test) AS tests FROM functions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
     "scan_statistics": sql("functions", "SELECT count(DISTINCT path) AS files, count(*) AS functions, sum(loc)::BIGINT AS lines, (SELECT count(*) FROM orders) AS commits, (SELECT count(DISTINCT o_custkey) FROM orders) AS authors, (SELECT round(epoch(NOW - min(o_orderdate)) / 86400.0, 6) FROM orders) AS age FROM functions"),
     "stream_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
+    "sunburst_arcs": sql("functions", """
+        , f AS (SELECT path AS p3, split_part(path, '/', 1) AS p1, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS p2, sum(loc)::DOUBLE AS w FROM functions GROUP BY path),
+        a AS (SELECT p1, sum(w) AS w, sum(sum(w)) OVER (ORDER BY sum(w) DESC, p1) / sum(sum(w)) OVER () AS e, sum(w) / sum(sum(w)) OVER () AS s FROM f GROUP BY p1),
+        b AS (SELECT p2, p1, sum(w) AS w, sum(sum(w)) OVER (PARTITION BY p1 ORDER BY sum(w) DESC, p2) / sum(sum(w)) OVER (PARTITION BY p1) AS e, sum(w) / sum(sum(w)) OVER (PARTITION BY p1) AS s FROM f GROUP BY p2, p1),
+        c AS (SELECT p3, p2, w, sum(w) OVER (PARTITION BY p2 ORDER BY w DESC, p3) / sum(w) OVER (PARTITION BY p2) AS e, w / sum(w) OVER (PARTITION BY p2) AS s FROM f),
+        x AS (SELECT p1, e - s AS l, e AS r FROM a),
+        y AS (SELECT p2, l + (e - s) * (r - l) AS l, l + e * (r - l) AS r FROM b JOIN x USING (p1)),
+        z AS (SELECT p3, l + (e - s) * (r - l) AS l, l + e * (r - l) AS r FROM c JOIN y USING (p2))
+        SELECT path, depth, round(l, 6) AS start, round(r, 6) AS "end" FROM (SELECT '' AS path, 0 AS depth, 0.0::DOUBLE AS l, 1.0::DOUBLE AS r UNION ALL SELECT p1, 1, l, r FROM x UNION ALL SELECT p2, 2, l, r FROM y UNION ALL SELECT p3, 3, l, r FROM z)"""),
+    "rim_slices": sql("files", """
+        , s AS (SELECT file_id AS i, (file_id * 37 % 11)::DOUBLE AS width, path AS label FROM files),
+        r AS (SELECT *, sum(CASE WHEN width >= 6 OR coalesce(before, 6) >= 6 THEN 1 ELSE 0 END) OVER (ORDER BY i) AS run FROM (SELECT *, lag(width) OVER (ORDER BY i) AS before FROM s))
+        SELECT min(i) AS "at", sum(width) AS width, CASE WHEN count(*) = 1 OR max(width) * 2 > sum(width) THEN arg_max(label, (width, -i)) ELSE count(*) || ' others' END AS label, count(*) AS n FROM r GROUP BY run"""),
+    "crowd_rows": sql("functions", "SELECT path, CASE WHEN loc < (SELECT sum(loc) FROM functions) / 64000.0 THEN 'rest' ELSE key END AS name, sum(loc)::BIGINT AS loc, count(*) AS members FROM functions GROUP BY 1, 2"),
+    "log_page": sql("touches", "SELECT sha, sha AS seq, ts, author FROM (SELECT DISTINCT sha, ts, author FROM touches WHERE starts_with(path, 'ASIA/')) ORDER BY ts DESC, sha LIMIT 15 OFFSET 20"),
+    "hottest_functions": sql("sized", "SELECT key, surprise, loc FROM sized ORDER BY surprise DESC, loc DESC, key LIMIT 25"),
+    "scope_languages": "SELECT lang, count(*) AS files FROM documents WHERE doc_id % 3 = 1 GROUP BY lang",
+    "rule_mentions": sql("hits", "SELECT DISTINCT rule, 100 + length(rule) AS place FROM hits"),
+    "cache_prune": sql("touches files", "SELECT path, count(*) AS entries FROM touches JOIN files USING (path) WHERE file_id % 3 <> 0 GROUP BY path"),
+    "retested_nodes": sql("nodes", "SELECT node, CASE WHEN node % 3 = 0 AND node % 4 <> 0 THEN node % 2 = 0 ELSE is_test END AS is_test, CASE WHEN node % 4 = 0 THEN 'contract' WHEN node % 3 = 0 THEN 'reading' WHEN is_test IS NOT NULL THEN 'convention' END AS how FROM nodes"),
+    "contents_once": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
-from .operators import findings, graph, history, readings, replay, rollup
+from .operators import findings, graph, history, readings, replay, rollup, views
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
@@ -576,3 +576,64 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     from .streaming.windows import event_windows
 
     return rounded(event_windows(t.table(spark, sf, "events")), "value")
+
+
+@query
+def sunburst_arcs(spark: SparkSession, sf: str) -> DataFrame:
+    f = t.functions(spark, sf).groupBy("path").agg(F.sum("loc").alias("weight"))
+    nodes = f.select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path"), "weight").groupBy("path").agg(F.sum("weight").alias("weight"))
+    return rounded(views.sunburst(nodes), "start", "end")
+
+
+@query
+def rim_slices(spark: SparkSession, sf: str) -> DataFrame:
+    s = t.files(spark, sf).select(F.col("file_id").alias("at"), (F.col("file_id") * 37 % 11).cast("double").alias("width"), "path")
+    return views.merge_slices(s.withColumnRenamed("path", "label"), 6.0)
+
+
+@query
+def crowd_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return views.fold_rest(t.functions(spark, sf), 4.0)
+
+
+@query
+def log_page(spark: SparkSession, sf: str) -> DataFrame:
+    return views.log_page(t.commits(spark, sf), t.commit_files(spark, sf), "ASIA", 20, 15)
+
+
+@query
+def hottest_functions(spark: SparkSession, sf: str) -> DataFrame:
+    return views.hottest(sized(spark, sf).select("key", "surprise", "loc"), 25)
+
+
+@query
+def scope_languages(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.table(spark, sf, "documents").select(F.concat_ws("/", F.concat(F.lit("d"), F.col("doc_id") % 3), "source").alias("path"), "lang")
+    return views.languages_of(d, "d1")
+
+
+@query
+def rule_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    top = findings.ranked(findings.hits(facts(spark, sf), catalogue()), 10)
+    return views.first_mentions(top.select("rule", (F.col("rank") * 100 + F.length("rule")).alias("place")))
+
+
+@query
+def cache_prune(spark: SparkSession, sf: str) -> DataFrame:
+    live = t.files(spark, sf).where(F.col("file_id") % 3 != 0)
+    return views.keep_live(t.commit_files(spark, sf), live).groupBy("path").agg(F.count("*").alias("entries"))
+
+
+@query
+def retested_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    n = t.call_nodes(spark, sf).withColumn("how", F.when(F.col("node") % 4 == 0, "contract").when(F.col("is_test").isNotNull(), "convention"))
+    said = n.where("node % 3 = 0").select("node", (F.col("node") % 2 == 0).alias("is_test"))
+    return views.retest(n.drop("dir"), said)
+
+
+@query
+def contents_once(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    known = d.where("path % 2 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
+    new, _ = views.parse_once(d, known)
+    return new.select("hash")
