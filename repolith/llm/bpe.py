@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SLICE_ROWS, release_memory, text_slices
+
 #: The split of the byte-level pre-tokenizer; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers; about 200 bytes each.
@@ -280,12 +282,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in slices(texts):
-                ids = bpe.encode_batch(texts[part])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "ids"])
+            for rows, texts in text_slices(batch):
+                for part in slices(texts):
+                    ids = bpe.encode_batch(texts[part])
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
+                    yield pa.RecordBatch.from_arrays([rows.column(0)[part.start : part.stop], pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "ids"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -315,13 +318,14 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in slices(texts):
-                ids = bpe.encode_batch(texts[part])
-                listed = [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
-                back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode_batch(ids)]
-                columns = [batch.column(0)[part.start : part.stop], pa.array(list(map(len, ids)), pa.int64()), pa.array(listed), pa.array(back)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows, texts in text_slices(batch, rows=4 * SLICE_ROWS):
+                for part in slices(texts):
+                    ids = bpe.encode_batch(texts[part])
+                    listed = [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
+                    back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode_batch(ids)]
+                    columns = [rows.column(0)[part.start : part.stop], pa.array(list(map(len, ids)), pa.int64()), pa.array(listed), pa.array(back)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SLICE_ROWS, release_memory, text_slices
+
 BLOCK = 64
 NOTE = b"blocks="
 #: Bytes of payload that are stored and decoded together.
@@ -321,11 +323,13 @@ def add_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for part in by_size([len(t) for t in texts]):
-                padded = [t + bytes(-len(t) % BLOCK or BLOCK * (not t)) for t in texts[part]]
-                columns = [batch.column(0)[part.start : part.stop], pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(store(padded), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media"])
+            for some, decoded in text_slices(batch):
+                texts = [t.encode() for t in decoded]
+                for part in by_size([len(t) for t in texts]):
+                    padded = [t + bytes(-len(t) % BLOCK or BLOCK * (not t)) for t in texts[part]]
+                    columns = [some.column(0)[part.start : part.stop], pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(store(padded), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
@@ -347,7 +351,7 @@ def read_media(media: DataFrame) -> DataFrame:
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, len(b), SLICE_ROWS)):
             stored = batch.column(2).to_pylist()
             for part in by_size([len(m) for m in stored]):
                 pictures = decode(stored[part])

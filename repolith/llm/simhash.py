@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_memory
 
 SHINGLE = 3
 SEED = 42
@@ -59,6 +59,7 @@ def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
