@@ -18,13 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SLICE_ROWS, release_memory, text_slices
+
 #: The fit reads at most so many labelled documents of each class; its first round at most so many.
-MOST_LABELLED = 4_000
+MOST_LABELLED = 2_000
 FIRST_ROUND = 1_000
 #: Rows of the table that fewer labelled documents touch keep a zero vector.
 LEAST_DOCUMENTS = 3
@@ -35,7 +36,7 @@ BUCKETS = 1 << 17
 WIDTH = 8
 ROUNDS = 5
 EPOCHS = 3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W_]+")
 
@@ -70,6 +71,13 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows_[order].astype(np.int64), np.bincount(owners_, minlength=len(coded))
 
 
+def vocabulary_features(words: list[str], some: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of a long list, some thousand words at a time, in 32 bits."""
+    parts = [features(words[at : at + some]) for at in range(0, len(words), some)]
+    rows = np.concatenate([r.astype(np.int32) for r, _ in parts] or [np.empty(0, np.int32)])
+    return rows, np.concatenate([c for _, c in parts] or [np.empty(0, np.int64)])
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -156,22 +164,24 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Toxicity:
                 model.bias -= rate * g_bias / np.sqrt(bias_sq)
                 model.table[touched] -= rate * g_table / np.sqrt(table_sq[touched])[:, None]
 
+    def word_margins() -> np.ndarray:
+        margin = (model.table @ (model.out[:, 1] - model.out[:, 0])).astype(np.float32)
+        return np.add.reduceat(margin[rows], starts).astype(np.float64) if len(rows) else np.empty(0)
+
     keep = [k for k in range(len(docs)) if len(docs[k])]
     label = y[keep]
     # the first round sees each document's different words, which weighs rare words as much as common ones
     early = [k for c in (0, 1) for k in [k for k in keep if y[k] == c][:FIRST_ROUND]]
     train([np.unique(docs[k]) for k in early], y[early], weight[early], 0.3)
     for _ in range(ROUNDS):
-        margin = (model.table @ (model.out[:, 1] - model.out[:, 0])).astype(np.float64)
-        sums = np.add.reduceat(margin[rows], starts)
+        sums = word_margins()
         chosen = []
         for k in keep:
             d = docs[k]
             at = int(np.argmax(model.passages(sums[d], counts[d])))
             chosen.append(d[at : at + PASSAGE])
         train(chosen, label, weight[keep], 0.2)
-    margin = (model.table @ (model.out[:, 1] - model.out[:, 0])).astype(np.float64)
-    sums = np.add.reduceat(margin[rows], starts)
+    sums = word_margins()
     best = np.array([model.passages(sums[docs[k]], counts[docs[k]]).max() if len(docs[k]) else 0.0 for k in range(len(docs))]) + float(model.bias[1] - model.bias[0])
     # the threshold in the widest gap among those with the fewest errors, nearer the clean side: unseen
     # toxic texts score lower than those that the fit has seen
@@ -201,7 +211,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     some = known.where("toxic = 1").orderBy(order, "id").limit(most).unionByName(known.where("toxic = 0").orderBy(order, "id").limit(most))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").where(F.col("text").isNotNull())
     got = sorted(((r["id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
-    return fit([r[1] for r in got], [r[2] for r in got])
+    model = fit([r[1] for r in got], [r[2] for r in got])
+    del got
+    release_memory()
+    return model
 
 
 class Scorer:
@@ -209,23 +222,28 @@ class Scorer:
 
     def __init__(self, margin: np.ndarray, bias: np.ndarray, shift: float, empty: float):
         self.model = Toxicity(margin[:, None], np.array([[0.0, 1.0]], np.float32), bias, shift, empty)
-        self.known: dict[str, tuple[float, int]] = {}
+        self.known: dict[str, int] = {}
+        self.sums, self.counts = np.empty(0), np.empty(0, np.int64)
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Makes every word of the texts known; forgets all others when there are too many."""
+        words = set().union(*lists)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.sums, self.counts, new = {}, np.empty(0), np.empty(0, np.int64), list(words)
+        if new:
+            sums, counts = self.model.word_sums(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         best = np.full(len(texts), self.model.empty)
-        for at in range(0, len(texts), 256):
-            lists = [words_of(t) for t in texts[at : at + 256]]
-            new = [w for w in set().union(*lists) if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set().union(*lists))
-            if new:
-                sums, counts = self.model.word_sums(new)
-                self.known.update(zip(new, zip(sums.tolist(), counts.tolist(), strict=True), strict=True))
-            for k, words in enumerate(lists, at):
-                if words:
-                    pairs = np.array([self.known[w] for w in words])
-                    best[k] = self.model.passages(pairs[:, 0], pairs[:, 1]).max()
+        lists = [words_of(t) for t in texts]
+        self.learn(lists)
+        for k, words in enumerate(lists):
+            if words:
+                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                best[k] = self.model.passages(self.sums[at], self.counts[at]).max()
         return self.model.probability(best)
 
 
@@ -246,10 +264,12 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            p = scorer(batch.column(1).to_pylist())
-            ids = batch.column(0)
-            held = [held_out("" if i is None else str(i)) for i in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+            for part, texts in text_slices(batch):
+                p = scorer(texts)
+                held = [held_out("" if i is None else str(i)) for i in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+        del scorer
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -259,10 +279,14 @@ def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Data
     """``docs`` without the rows that the model rejects; columns as they came."""
     shared = docs.sparkSession.sparkContext.broadcast(folded(model))
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
-        for texts in series:
-            yield pd.Series(scorer(texts.tolist()) < THRESHOLD)
-
-    accepted = F.pandas_udf(run, "boolean")
+        for texts in batches:
+            parts = [scorer(texts.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, len(texts), SLICE_ROWS)]
+            yield pa.array(np.concatenate(parts) < THRESHOLD if parts else np.empty(0, bool))
+        del scorer
+        release_memory()
+
+    # not deterministic for the optimiser: evaluated once a row, never pushed into another operator
+    accepted = F.arrow_udf(run, "boolean").asNondeterministic()
     return docs.where(accepted(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
