@@ -28,7 +28,7 @@ def new_file(folder: str, stem: str, suffix: str) -> Iterator[tuple[BinaryIO, st
     uri = f"{folder.rstrip('/')}/{stem}-{uuid.uuid4().hex[:12]}{suffix}"
     system, path = resolve(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         yield out, uri
 
 

@@ -2,12 +2,13 @@
 
 Only headers are shuffled: payload digests with page identifiers are aggregated to the smallest page of
 each digest, and joined back to say which record is the response and which revisit it. Archives are then
-written with fresh headers, one file a task, and read back; a revisit carries no payload, so its payload's
+written with fresh headers, one file a task and one gzip member a record, and read back; a revisit carries no payload, so its payload's
 size and digest come from the response it refers to.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import cut, shared_folder
+from .common import SLICE_ROWS, cut, shared_folder
 
 LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
+#: Repeated digests are broadcast up to this many (about 100 bytes each), else joined by shuffle.
+BROADCAST_DIGESTS = 500_000
 
 
 def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
@@ -37,8 +40,10 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     large = F.octet_length("html") >= least
     # one row a digest and task leaves the map side, so a page that many hosts serve stays small
     firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # only repeated digests are joined back: few enough to broadcast at run time unless copies abound, and
-    # then a digest that many pages share is split by the adaptive skew join
+    # only headers have met so far; payloads do not move either while the repeated digests are few
+    firsts = cut(firsts)
+    if firsts.count() <= BROADCAST_DIGESTS:
+        firsts = F.broadcast(firsts)
     marked = rows.join(firsts, "digest", "left")
     other = ~F.col("page_id").eqNullSafe(F.col("first"))
     return marked.withColumn("refers_to", F.when(large & F.col("first").isNotNull() & other, F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
@@ -68,12 +73,12 @@ def write_archives(resolved: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, opened, uri = 0, None, ""
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, len(b), SLICE_ROWS)):
             for r in batch.to_pylist():
                 if opened is None:
-                    opened = files.new_file(folder, "pages", ".warc")
+                    opened = files.new_file(folder, "pages", ".warc.gz")
                     out, uri = opened.__enter__()
-                out.write(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"]))
+                out.write(gzip.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"]), 6, mtime=0))
                 n += 1
         if opened is not None:
             opened.__exit__(None, None, None)
@@ -108,7 +113,7 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 got: list[tuple] = []
-                with files.open_file(path) as f:
+                with files.open_file(path) as stored, gzip.open(stored) as f:
                     for head, block in read_records(f):
                         kind, payload = head["warc-type"], block.partition(b"\r\n\r\n")[2]
                         full = kind == "response"
