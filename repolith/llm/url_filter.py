@@ -22,6 +22,8 @@ OWN_SHARE = 0.05
 MOST_DEPTH = 6
 #: Sibling branches are alike within this total variation distance of their children.
 APART = 0.25
+#: Children with this share of a branch are its main ones.
+MAIN_SHARE = 0.2
 #: The prior weighs as many labelled urls; templates at or above the purity are rejected.
 PRIOR_WEIGHT = 4.0
 PURITY = 0.8
@@ -90,12 +92,15 @@ def grow_templates(urls: DataFrame) -> DataFrame:
         below = here.groupBy(*branch, "below").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         whole = below.groupBy(*branch).agg(F.sum("n").alias("branch_n"), F.sum("bad").alias("branch_bad"))
         kind = F.floor(F.col("branch_bad") / F.col("branch_n") * 2.999).cast("int")
-        below = below.join(whole.withColumn("kind", kind), branch)
-        alike = [*node, "kind"]
+        below = below.join(whole.withColumn("kind", kind), branch).withColumn("own_share", F.col("n") / F.col("branch_n"))
+        # branches can only be alike if their main children are; a branch without any is alike to none
+        main = below.where(F.col("own_share") >= MAIN_SHARE).groupBy(*branch).agg(F.array_join(F.sort_array(F.collect_list("below")), "/").alias("main"))
+        below = below.join(main, branch)
+        alike = [*node, "kind", "main"]
         pool = below.groupBy(*alike, "below").agg(F.sum("n").alias("pool_n"))
         pool = pool.withColumn("share", F.col("pool_n") / F.sum("pool_n").over(Window.partitionBy(*alike))).drop("pool_n")
         # half the sum of differences: children that a branch lacks count with the pool's share
-        gap = below.join(pool, [*alike, "below"]).groupBy(*branch, "kind").agg((F.sum(F.abs(F.col("n") / F.col("branch_n") - F.col("share")) - F.col("share")) + 1).alias("twice"))
+        gap = below.join(pool, [*alike, "below"]).groupBy(*branch, "kind", "main").agg((F.sum(F.abs(F.col("own_share") - F.col("share")) - F.col("share")) + 1).alias("twice"))
         near = gap.where((F.col("twice") / 2 <= APART) & (F.col("value") != "*"))
         # at most MOST_CHILDREN + 1/OWN_SHARE values are left under a node
         merged = near.groupBy(*alike).agg(F.array_join(F.sort_array(F.collect_set("value")), "|").alias("merged"), F.count("*").alias("members")).where("members > 1")
