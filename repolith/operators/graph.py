@@ -54,7 +54,7 @@ def under_test(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         step = inner.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = _cut(step.join(reached, "node", "left_anti"))
-        reached = _cut(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # of parts that are all materialised
     hit = reached.withColumn("hit", F.lit(1))
     return nodes.join(hit, "node", "left").select("node", F.when(F.col("is_test").isNotNull(), F.coalesce("hit", F.lit(0))).alias("under_test"))
 
