@@ -22,8 +22,6 @@ OWN_SHARE = 0.05
 MOST_DEPTH = 6
 #: Sibling branches are alike within this total variation distance of their children.
 APART = 0.25
-#: Children with this share of a branch are its main ones.
-MAIN_SHARE = 0.2
 #: The prior weighs as many labelled urls; templates at or above the purity are rejected.
 PRIOR_WEIGHT = 4.0
 PURITY = 0.8
@@ -73,6 +71,18 @@ def shape(path: Column) -> Column:
     return F.when(F.size(masked) > MOST_DEPTH, F.concat(F.slice(masked, 1, MOST_DEPTH - 1), F.array(F.lit("**")))).otherwise(masked)
 
 
+def joined(pairs: Column) -> Column:
+    """``value, least`` of every value in an array of pairs ``value, other``: the least value that a chain of pairs reaches."""
+    values = F.array_distinct(F.concat(pairs["value"], pairs["other"]))
+    start = F.transform(values, lambda v: F.struct(v.alias("value"), v.alias("least")))
+
+    def join(labels: Column, pair: Column) -> Column:
+        ends = F.transform(F.filter(labels, lambda x: (x["value"] == pair["value"]) | (x["value"] == pair["other"])), lambda x: x["least"])
+        return F.transform(labels, lambda x: F.struct(x["value"].alias("value"), F.when(F.array_contains(ends, x["least"]), F.array_min(ends)).otherwise(x["least"]).alias("least")))
+
+    return F.aggregate(pairs, start, join)
+
+
 def grow_templates(urls: DataFrame) -> DataFrame:
     """``host, parts, label`` (1 reject, 0 accept, null unknown) -> ``host, parts, template, purity`` for every shape."""
     t = cut(urls.groupBy("host", "parts").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("good")))
@@ -93,18 +103,20 @@ def grow_templates(urls: DataFrame) -> DataFrame:
         whole = below.groupBy(*branch).agg(F.sum("n").alias("branch_n"), F.sum("bad").alias("branch_bad"))
         kind = F.floor(F.col("branch_bad") / F.col("branch_n") * 2.999).cast("int")
         below = below.join(whole.withColumn("kind", kind), branch).withColumn("own_share", F.col("n") / F.col("branch_n"))
-        # branches can only be alike if their main children are; a branch without any is alike to none
-        main = below.where(F.col("own_share") >= MAIN_SHARE).groupBy(*branch).agg(F.array_join(F.sort_array(F.collect_list("below")), "/").alias("main"))
-        below = below.join(main, branch)
-        alike = [*node, "kind", "main"]
-        pool = below.groupBy(*alike, "below").agg(F.sum("n").alias("pool_n"))
-        pool = pool.withColumn("share", F.col("pool_n") / F.sum("pool_n").over(Window.partitionBy(*alike))).drop("pool_n")
-        # half the sum of differences: children that a branch lacks count with the pool's share
-        gap = below.join(pool, [*alike, "below"]).groupBy(*branch, "kind", "main").agg((F.sum(F.abs(F.col("own_share") - F.col("share")) - F.col("share")) + 1).alias("twice"))
-        near = gap.where((F.col("twice") / 2 <= APART) & (F.col("value") != "*"))
-        # at most MOST_CHILDREN + 1/OWN_SHARE values are left under a node
-        merged = near.groupBy(*alike).agg(F.array_join(F.sort_array(F.collect_set("value")), "|").alias("merged"), F.count("*").alias("members")).where("members > 1")
-        near = near.join(merged, alike).select(*branch, F.concat(F.lit("("), "merged", F.lit(")")).alias("merged"))
+        # children as the next level will have them: wildcards for those that it would not keep
+        size = below.where(F.col("below") != "").groupBy(*branch).agg(F.count("*").alias("children"), F.sum("n").alias("total"))
+        below = below.where(F.col("value") != "*").join(size, branch, "left")
+        own = (F.col("below") == "") | (F.col("children") <= MOST_CHILDREN) | (F.col("n") >= OWN_SHARE * F.col("total"))
+        child = below.groupBy(*branch, "kind", F.when(own, F.col("below")).otherwise("*").alias("child")).agg(F.sum("own_share").alias("share"))
+        # at most MOST_CHILDREN (or 1/OWN_SHARE) values are left under a node, each with about as many children
+        alike = [*node, "kind"]
+        other = child.select(*alike, "child", F.col("value").alias("other"), F.col("share").alias("other_share"))
+        pairs = child.join(other, [*alike, "child"]).where(F.col("value") < F.col("other")).groupBy(*alike, "value", "other").agg(F.sum(F.least("share", "other_share")).alias("common"))
+        pairs = pairs.where(1 - F.col("common") <= APART + 1e-9)
+        groups = pairs.groupBy(*alike).agg(F.sort_array(F.collect_list(F.struct("value", "other"))).alias("pairs"))
+        near = groups.select(*node, F.inline(joined(F.col("pairs"))))
+        names = Window.partitionBy(*node, "least")
+        near = near.withColumn("merged", F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_set("value").over(names)), "|"), F.lit(")"))).drop("least")
         here = here.join(near, branch, "left").withColumn("grown", F.concat("template", F.lit("/"), F.coalesce("merged", "value")))
         ended = t.where(F.col("value").isNull()).withColumn("grown", F.col("template"))
         columns = ["host", "parts", "n", "bad", "good", F.col("grown").alias("template")]
