@@ -59,8 +59,8 @@ def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, action
 
 
-def shape(path: Column) -> Column:
-    """The path's segments with variable parts masked; segments from ``MOST_DEPTH`` on become one ``**``."""
+def shape(path: Column, most_depth: int | None = MOST_DEPTH) -> Column:
+    """The path's segments with variable parts masked; segments from ``most_depth`` on become one ``**``, none if it is null."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
 
     def mask(p: Column) -> Column:
@@ -68,7 +68,9 @@ def shape(path: Column) -> Column:
         return F.when(long_hex & p.rlike(r"[A-Fa-f]"), F.lit("{x}")).otherwise(F.regexp_replace(p, r"[0-9]+", "{n}"))
 
     masked = F.transform(parts, mask)
-    return F.when(F.size(masked) > MOST_DEPTH, F.concat(F.slice(masked, 1, MOST_DEPTH - 1), F.array(F.lit("**")))).otherwise(masked)
+    if most_depth is None:
+        return masked
+    return F.when(F.size(masked) > most_depth, F.concat(F.slice(masked, 1, most_depth - 1), F.array(F.lit("**")))).otherwise(masked)
 
 
 def joined(pairs: Column) -> Column:
@@ -141,7 +143,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), action.alias("action"), shape(F.col("path")).alias("parts"))
+    rows = rows.select("*", rule.alias("rule"), action.alias("action"), shape(F.col("path"), None).alias("parts"))
     label = F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0)
     templates = grow_templates(rows.select("host", "parts", label.alias("label")))
     judged = rows.join(templates, ["host", "parts"], "left")

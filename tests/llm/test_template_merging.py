@@ -26,3 +26,11 @@ def test_siblings_over_slugs_merge(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     found = grow(spark, [f"/{lang}/{lang}{x}{y}" for lang in ("fr", "es") for x in letters[:5] for y in letters[:10]])
     assert set(found.values()) == {"/(es|fr)/*"}
+
+
+def test_templates_go_to_the_real_depth(spark):
+    deep = [f"/a/b/c/d/e/f/{end}/{k}" for end in ("g", "h/i") for k in range(5)]
+    pages = spark.createDataFrame([(k, f"http://x.net{p}") for k, p in enumerate(deep)], "page_id long, url string")
+    got = url_filter.judge(pages, [url_filter.Rule("block", "x.net/a/b/c/d/e/f/g/")]).collect()
+    assert {(r.verdict, r.template) for r in got if r.page_id < 5} == {("block", "/a/b/c/d/e/f/g/{n}")}
+    assert {r.template for r in got if r.page_id >= 5} == {"/a/b/c/d/e/f/h/i/{n}"}
