@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release_memory
@@ -36,21 +36,28 @@ QUERY_BLOCK = 2048
 MOST_ROUNDS = 60
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text in UTF-8; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included; a shorter text is one shingle, also one without words."""
     words = text.lower().split()  # on bytes: A-Z, and the six ASCII spaces
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(s), SEED) for s in zip(*[words[i:] for i in range(shingle)], strict=False)), np.uint64, len(words) - shingle + 1)
+    if len(words) <= shingle:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    return np.fromiter((digest(join(s), SEED) for s in zip(*[words[i:] for i in range(shingle)], strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text in UTF-8; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle)) if text.strip() else 0
+
+
 def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``id, fp`` for every row; fp is a long with the fingerprint's bits."""
 
@@ -219,11 +226,32 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(named.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def key_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first in each ``root`` of ``marked`` (``id, key, root``); columns as they came.
+
+    Smallest identifier first, nulls last, then the smallest key of a text; of rows that repeat both one stays.
+    """
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    stay = first.select(F.col("first.key").alias("key"), F.xxhash64("first.id").alias("spread"), F.col("first.id").alias("first"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), key_of(F.col(text_col)).alias("key"))
+    # spread: rows that share a hot text but not the identifier go to other tasks
+    rows = rows.withColumn("spread", F.xxhash64("id")).join(stay, ["key", "spread"]).where(F.col("id").eqNullSafe(F.col("first")))
+    place = F.row_number().over(Window.partitionBy("key", "spread").orderBy("key", "spread"))
+    return rows.withColumn("place", place).where("place = 1").select("row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the row of the smallest identifier of each component; columns as they came.
+    """``docs`` with one row of each component of fingerprints, that of the smallest identifier; columns as they came.
 
-    Of rows that repeat that identifier one stays; rows without an identifier cannot be told apart and all stay.
+    Of different texts under that identifier the one with the least hash stays, and one of rows that repeat
+    both. A component without identifiers keeps one row too. An empty table gives an empty result.
     """
-    marked = mark_near_duplicates(docs, id_col, text_col, most, shingle)
-    stay = marked.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.select(F.struct(F.col(id_col).alias("id"), key_of(F.col(text_col)).alias("key")).alias("of"), F.col(text_col).alias("text"))
+    prints = cut(add_fingerprints(named, "of", "text", shingle))
+    roots = components(find_links(prints.select("fp").distinct(), most))
+    marked = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id.id", "id.key", F.coalesce("root", "fp").alias("root"))
+    return keep_first(docs, marked, id_col, text_col)

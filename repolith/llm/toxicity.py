@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, release_memory, text_slices
+from .common import release_memory, text_slices
 
 #: The fit reads at most so many labelled documents of each class; its first round at most so many.
 MOST_LABELLED = 2_000
@@ -276,17 +276,21 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects; columns as they came."""
+    """``docs`` without the rows that the model rejects; columns as they came, also those with names of this module.
+
+    Null and empty texts stay unless the labelled clean texts themselves are rejected. Repeated rows are decided
+    alike, a text is read whole whatever its length, an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(folded(model))
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for texts in batches:
-            parts = [scorer(texts.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, len(texts), SLICE_ROWS)]
-            yield pa.array(np.concatenate(parts) < THRESHOLD if parts else np.empty(0, bool))
+        for batch in batches:
+            for part, texts in text_slices(batch, at):
+                accepted = pa.array(scorer(texts) < THRESHOLD)
+                yield part.filter(accepted)
         del scorer
         release_memory()
 
-    # not deterministic for the optimiser: evaluated once a row, never pushed into another operator
-    accepted = F.arrow_udf(run, "boolean").asNondeterministic()
-    return docs.where(accepted(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
