@@ -3,7 +3,8 @@
 A word's greedy longest matches are a guess at its tokens. The guess is right if and only if every
 adjacent pair of tokens is compatible, that is if merging the two tokens' bytes alone gives the two
 tokens back; so all pairs of all new words are tested at once with numpy, and only words with a failing
-pair are merged step by step. Words repeat, so each worker remembers those it has met.
+pair are merged step by step, all of them together. Words repeat, and so do the parts of a text between its
+spaces; each worker remembers those that it has met.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import functools
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,18 @@ from .common import SLICE_ROWS, release_memory, text_slices
 
 #: The split of the byte-level pre-tokenizer; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers; about 200 bytes each.
-REMEMBERED = 300_000
+#: Parts of texts that a worker remembers, twice over; about 200 bytes each. Longer ones are not kept.
+REMEMBERED = 400_000
+LONG = 64
 #: Characters of text that are encoded together.
 BATCH_CHARS = 4_000_000
 NEVER = 1 << 40
 #: No merge; sorts after all merges.
 NONE = (NEVER, -1)
+#: Bytes of a word that is guessed and merged along with all others; longer ones go one by one.
 SHORT = 48
+#: Where the split of a text may depend on more than the part that a space begins.
+SPACED = re.compile(r" \s")
 
 
 def byte_symbols() -> list[str]:
@@ -41,6 +47,42 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Remembered:
+    """Packed token ids of texts, from those of the parts between spaces, each encoded once.
+
+    A space before anything but white space begins a new match of the split whatever stands before it, so
+    the ids of a space and the part after it are the same in every text. Other texts are encoded whole.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
+        self.encode, self.most = encode, most
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        heads, tails = [], []
+        for t in texts:
+            parts = [t] if SPACED.search(t) else t.split(" ")
+            heads.append(parts[0])
+            del parts[0]
+            tails.append(parts)
+        met = set().union(*tails)
+        new = met - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            # what has been met since the last time stays at hand
+            self.old, self.known, new = self.known, {}, met
+        known, old = self.known, self.old
+        known.update((p, old[p]) for p in new & old.keys())
+        new = list(new - known.keys())
+        ids = self.encode(heads + [" " + p for p in new])
+        known.update(zip(new, ids[len(heads) :], strict=True))
+        out = [h + b"".join(map(known.__getitem__, t)) for h, t in zip(ids, tails, strict=False)]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        return out
+
+
 class PairTable:
     """(left, right) -> rank of the merge, by open addressing on arrays."""
 
@@ -115,13 +157,24 @@ class ByteBpe:
         for m, a, b, ok in zip(made.tolist(), left.tolist(), right.tolist(), apart.tolist(), strict=True):
             sound[m] = ok and sound[a] and sound[b]
         self.guess = {t: i for i, t in enumerate(self.tokens) if sound[i]}
-        #: for three bytes: how long the tokens are that begin so, the longest first
-        starts: dict[bytes, set[int]] = {}
-        for t in self.guess:
-            if len(t) > 2:
-                starts.setdefault(t[:3], set()).add(len(t))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in starts.items()}
-        self.known: dict[str, bytes] = {}
+        self.made = made
+        self.bytes = np.array(self.byte_id, np.int64)
+        #: the tree of the tokens' bytes: nodes 0-255 are its roots; and the token that ends at each node, if any
+        steps: dict[int, int] = {}
+        ends = {b: i for b, i in enumerate(self.byte_id)}
+        for t, i in self.guess.items():
+            node = t[0]
+            for b in t[1:]:
+                node = steps.setdefault(node << 8 | b, 256 + len(steps))
+            ends[node] = i
+        self.step = steps
+        self.steps = PairTable(np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)))
+        self.ends = np.full(256 + len(steps), -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+        #: decimals of all ids
+        self.names = [str(i).encode() for i in range(size)]
+        self.words: dict[str, bytes] = {}
+        self.remembered = Remembered(self.encode_strings)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, skip_top: bool = False) -> np.ndarray:
         """Whether the bytes of token a followed by those of b merge to a and b.
@@ -188,60 +241,152 @@ class ByteBpe:
                 heapq.heappush(queue, (m[0], h, ids[h], made, m[1]))
         return [i for i in ids if i >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        guess, lengths, byte_id = self.guess.get, self.lengths.get, self.byte_id
-        out = []
-        for w in words:
-            if (whole := guess(w)) is not None:
-                out.append([whole])
-                continue
-            ids, at, n = [], 0, len(w)
-            while at < n:
-                for k in lengths(w[at : at + 3], ()):
-                    if at + k <= n and (t := guess(w[at : at + k])) is not None:
-                        break
-                else:
-                    if at + 1 < n and (t := guess(w[at : at + 2])) is not None:
-                        k = 2
-                    else:
-                        t, k = byte_id[w[at]], 1
-                ids.append(t)
-                at += k
-            out.append(ids)
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for ids in out for i in ids), np.int64, int(sizes.sum()))
-        word = np.repeat(np.arange(len(out)), sizes)
-        inside = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.empty(0, np.int64)
-        pairs, which = np.unique(flat[inside] << 32 | flat[inside + 1] if len(inside) else np.empty(0, np.int64), return_inverse=True)
+    def merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge_exactly`` of many words at once, one merge a word and round: ids in the order of the words, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.arange(len(words))  # of the words that still merge
+        ranks = np.full(len(ids), NEVER, np.int64)
+        inside = np.ones(max(0, len(ids) - 1), bool)
+        inside[np.cumsum(sizes)[:-1] - 1] = False
+        left = np.flatnonzero(inside)
+        ranks[left] = self.table.get(ids[left] << 32 | ids[left + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            starts = np.cumsum(sizes) - sizes
+            least = np.minimum.reduceat(ranks, starts)
+            over = least == NEVER
+            if over.any():
+                out = np.repeat(over, sizes)
+                done.append((np.repeat(word[over], sizes[over]), ids[out]))
+                ids, ranks, word, sizes, least = ids[~out], ranks[~out], word[~over], sizes[~over], least[~over]
+                starts = np.cumsum(sizes) - sizes
+            if not len(word):
+                break
+            hits = np.flatnonzero(ranks == np.repeat(least, sizes))
+            # the leftmost of each word
+            at = hits[np.searchsorted(hits, starts)]
+            ids[at] = self.made[least]
+            ranks[at] = NEVER
+            more = at[at + 2 < starts + sizes]
+            ranks[more] = self.table.get(ids[more] << 32 | ids[more + 2])
+            more = at[at > starts] - 1
+            ranks[more] = self.table.get(ids[more] << 32 | ids[more + 1])
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks, sizes = ids[keep], ranks[keep], sizes - 1
+        whose, ids = (np.concatenate(x) if done else np.empty(0, np.int64) for x in (zip(*done, strict=True) if done else ((), ())))
+        return ids[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
+    def guess_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of many words (none empty): ids in the order of the words, and how many each has.
+
+        Every word walks down the tree of tokens in step with all others; where it can go no further, the
+        last token on its way is taken and the walk begins anew behind it.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        word, end = np.arange(len(words)), np.cumsum(sizes)
+        at = end - sizes
+        node, best, best_end = data[at], self.bytes[data[at]], at + 1
+        at = at + 1
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            child = np.full(len(word), NEVER, np.int64)
+            inside = np.flatnonzero(at < end)
+            child[inside] = self.steps.get(node[inside] << 8 | data[at[inside]])
+            go = child != NEVER
+            node, at = np.where(go, child, node), at + go
+            token = self.ends[node]
+            better = go & (token >= 0)
+            best, best_end = np.where(better, token, best), np.where(better, at, best_end)
+            stop = np.flatnonzero(~go)
+            done.append((word[stop], best[stop]))
+            again = stop[best_end[stop] < end[stop]]
+            first = data[best_end[again]]
+            node[again], best[again], at[again] = first, self.bytes[first], best_end[again] + 1
+            best_end[again] += 1
+            stay = go
+            stay[again] = True
+            word, end, node, at, best, best_end = (x[stay] for x in (word, end, node, at, best, best_end))
+        whose, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
+    def encode_short(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids (int32) of words of 1 to ``SHORT`` bytes."""
+        if not words:
+            return []
+
+        def packed(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+            flat, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+            return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+        ids, counts = self.guess_together(words)
+        word = np.repeat(np.arange(len(words)), counts)
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        pairs, which = np.unique(ids[inside] << 32 | ids[inside + 1], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        for k in np.unique(word[inside[~good[which]]]).tolist():
-            out[k] = self.merge_exactly(words[k])
+        out = packed(ids, counts)
+        failing = np.unique(word[inside[~good[which]]]).tolist()
+        for k, own in zip(failing, packed(*self.merge_together([words[k] for k in failing])) if failing else [], strict=True):
+            out[k] = own
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids (int32) of each text."""
+    def encode_long(self, word: bytes) -> list[int]:
+        """The token ids of one word of any length."""
+        ids, at, n = [], 0, len(word)
+        step, ends = self.step.get, self.ends
+        while at < n:
+            node, pos = word[at], at + 1
+            best, after = self.byte_id[node], pos
+            while pos < n and (node := step(node << 8 | word[pos])) is not None:
+                pos += 1
+                if ends[node] >= 0:
+                    best, after = int(ends[node]), pos
+            ids.append(best)
+            at = after
+        pairs = np.array(ids, np.int64)
+        return ids if len(ids) < 2 or self.compatible(pairs[:-1], pairs[1:]).all() else self.merge_exactly(word)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The token ids of words, each encoded on its own."""
+        short = [w for w in words if 0 < len(w) <= SHORT]
+        found = iter(self.encode_short(short))
+        return [np.frombuffer(next(found), np.int32).tolist() if 0 < len(w) <= SHORT else self.encode_long(w) for w in words]
+
+    def encode_strings(self, strings: list[str]) -> list[bytes]:
+        """Packed ids (int32) of strings, by way of their words; for texts that spell no added token."""
         split = self.split.findall
-        parted: list[list] = []
-        for text in texts:
-            if self.specials is None or not self.specials.search(text):
-                parted.append(split(text))
-                continue
-            words, at = [], 0
-            for m in self.specials.finditer(text):
-                words += split(text[at : m.start()])
-                words.append((m[0],))  # a tuple is no word of a text
-                at = m.end()
-            parted.append(words + split(text[at:]))
-        known = self.known
-        new = [w for w in set().union(*parted) if w not in known]
+        parted = [split(x) for x in strings]
+        known = self.words
+        new = set().union(*parted) - known.keys()
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(set().union(*parted))
-        plain = [w for w in new if isinstance(w, str)]
-        pack = lambda ids: np.array(ids, np.int32).tobytes()
-        known.update((w, pack([self.added[w[0]]])) for w in new if isinstance(w, tuple))
-        known.update(zip(plain, map(pack, self.encode_words([w.encode() for w in plain])), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in parted]
+            new = set().union(*parted)
+        coded = {w: w.encode() for w in new}
+        short = [w for w, c in coded.items() if len(c) <= SHORT]
+        known.update(zip(short, self.encode_short([coded[w] for w in short]), strict=True))
+        long = [w for w, c in coded.items() if len(c) > SHORT]
+        known.update((w, np.array(self.encode_long(coded[w]), np.int32).tobytes()) for w in long)
+        out = [b"".join(map(known.__getitem__, words)) for words in parted]
+        for w in long:
+            if len(w) > LONG:
+                del known[w]
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids (int32) of each text."""
+        special = [any(a in t for a in self.added) for t in texts]
+        plain = iter(self.remembered([t for t, s in zip(texts, special, strict=True) if not s]))
+        return [np.frombuffer(self.encode_special(t) if s else next(plain), np.int32) for t, s in zip(texts, special, strict=True)]
+
+    def encode_special(self, text: str) -> bytes:
+        """The same of a text that spells added tokens."""
+        out, at = [], 0
+        for m in self.specials.finditer(text):
+            out += [*self.encode_strings([text[at : m.start()]]), np.array([self.added[m[0]]], np.int32).tobytes()]
+            at = m.end()
+        return b"".join([*out, *self.encode_strings([text[at:]])])
 
     def decode_batch(self, batch: list[np.ndarray]) -> list[str]:
         of = self.tokens.__getitem__
@@ -321,7 +466,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             for rows, texts in text_slices(batch, rows=4 * SLICE_ROWS):
                 for part in slices(texts):
                     ids = bpe.encode_batch(texts[part])
-                    listed = [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
+                    listed = [hashlib.sha256(b",".join(map(bpe.names.__getitem__, i.tolist()))).hexdigest() for i in ids]
                     back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode_batch(ids)]
                     columns = [rows.column(0)[part.start : part.stop], pa.array(list(map(len, ids)), pa.int64()), pa.array(listed), pa.array(back)]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

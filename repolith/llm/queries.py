@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, jpeg_media, mixing, sharding, simhash, token_shards, toxicity, url_filter, warc
-from .common import read_table, shared_folder
+from .common import cut, read_table, remove_folder, shared_folder
 
 SHARDS = 24
 END_OF_TEXT = 50256
@@ -43,8 +43,10 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = token_shards.write_shards(docs, tokenizer_path("byte_bpe_50k.tiktoken"), END_OF_TEXT, shared_folder(spark, "shards"))
-    return token_shards.read_back(manifest)
+    folder = shared_folder(spark, "shards")
+    read = cut(token_shards.read_back(token_shards.write_shards(docs, tokenizer_path("byte_bpe_50k.tiktoken"), END_OF_TEXT, folder)))
+    remove_folder(spark, folder)
+    return read
 
 
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import cut, release_memory, text_slices
+from .common import cut, release_memory, shuffle_partitions, text_slices
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -71,13 +74,28 @@ class FeistelPermutation:
 
 
 @functools.lru_cache(2)
-def loaded(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+def loaded(ranks: bytes) -> tiktoken.Encoding:
     """One encoder a worker and vocabulary, from a file of base64 tokens with their ranks."""
     pairs = (line.split() for line in ranks.splitlines() if line)
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=bpe.SPLIT, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", pattern: str = bpe.SPLIT) -> DataFrame:
+@functools.lru_cache(2)
+def remembering(ranks: bytes, width: int) -> bpe.Remembered:
+    """The encoder behind a memory of the parts of texts; ids of so many bytes, little endian."""
+    encode = loaded(ranks).encode_ordinary
+
+    def packed(texts: list[str]) -> list[bytes]:
+        out = [array("H" if width == 2 else "I", encode(t)) for t in texts]
+        if sys.byteorder == "big":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
+
+    return bpe.Remembered(packed)
+
+
+def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shard files and returns their manifest: ``shard, path, sequences, length, width``.
 
     ``vocabulary`` is a file of base64 tokens and ranks. Every text gives its tokens and the ``end`` token, cut
@@ -92,15 +110,16 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(bpe.read_spec(vocabulary))
-    width = 2 if end < 1 << 16 and loaded(ranks.value, pattern).n_vocab <= 1 << 16 else 4
+    width = 2 if end < 1 << 16 and loaded(ranks.value).n_vocab <= 1 << 16 else 4
     wide = np.dtype("<u2" if width == 2 else "<u4")
+    last = np.array([end], wide).tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = loaded(ranks.value, pattern).encode_ordinary, 0
+        encode, n = remembering(ranks.value, width), 0
         for batch in batches:
             for _, texts in text_slices(batch):
-                n += sum(-(-(len(encode(t)) + 1) // length) for t in texts)
+                n += sum(-(-(len(ids) // width + 1) // length) for ids in encode(texts))
         release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
 
@@ -112,17 +131,17 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
     total = int(counts.sum())
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, order = loaded(ranks.value, pattern).encode_ordinary, FeistelPermutation(total, key)
+        encode, order = remembering(ranks.value, width), FeistelPermutation(total, key)
         first, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         done = 0
         for batch in batches:
             for some, texts in text_slices(batch, rows=64):
                 records = []
-                for i, t in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = np.array([*encode(t), end], wide)
-                    for part, at in enumerate(range(0, len(ids), length)):
-                        own = ids[at : at + length]
-                        records.append(np.array([(NO_ID if i is None else i, part, len(own))], HEADER).tobytes() + own.tobytes())
+                for i, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    ids += last
+                    for part, at in enumerate(range(0, len(ids), length * width)):
+                        own = ids[at : at + length * width]
+                        records.append(struct.pack("<qii", NO_ID if i is None else i, part, len(own) // width) + own)
                 if done + len(records) > expected:
                     raise RuntimeError("the input has changed since it was counted")
                 slots = order.slot(first + done + np.arange(len(records)))
@@ -157,7 +176,11 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["shard", "path", "sequences"])
 
-    dealt = rows.mapInArrow(cut_up, "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
+    # ranges of shards, known without a sample: each task writes a run of them
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, shuffle_partitions(spark))
+    part = F.expr(f"cast(shard * {tasks} div {shards} as int)")
+    dealt = rows.mapInArrow(cut_up, "shard long, slot long, record binary").repartitionById(tasks, part).sortWithinPartitions("shard", "slot")
     manifest = dealt.mapInArrow(write, "shard long, path string, sequences long")
     return cut(manifest.withColumn("length", F.lit(length)).withColumn("width", F.lit(width)))
 

@@ -131,20 +131,23 @@ def test_feistel_is_a_bijection(n, key):
 
 
 def test_token_shards(spark, make_docs, odd_docs, tmp_path, pair):
-    own, _ = pair
-    docs = make_docs(odd_docs)
-    docs.write.parquet(str(tmp_path / "docs"))
+    """Every record against the library's ids, and its slot against the permutation of its place in the input."""
+    _, library = pair
+    make_docs(odd_docs).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    manifest = token_shards.write_shards(docs, tokenizer_path("byte_bpe_50k.tiktoken"), 50256, f"file://{tmp_path}/shards", length=16, per_shard=100)
+    vocabulary = tokenizer_path("byte_bpe_50k.tiktoken")
+    manifest = token_shards.write_shards(docs, vocabulary, 50256, f"file://{tmp_path}/shards", length=16, per_shard=100)
     got = sorted(token_shards.read_back(manifest, per_shard=100).collect())
-    assert [r.slot for r in got] == list(range(len(got)))
-    parts = Counter()
-    for r in got:
-        parts[r.doc_id] += r.n_tokens
-    want = Counter()
-    for i, t in ((r[0], r[1] or "") for r in odd_docs):
-        want[i] += len(own.encode_batch([t])[0]) + 1
-    assert parts == want
+    # the order before the permutation is that of the table's partitions
+    before = []
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.array(library.encode((r.text or "").replace("<|endoftext|>", "<| endoftext|>"), add_special_tokens=False).ids + [50256], "<u2")
+        before += [(r.doc_id, part, len(own), zlib.crc32(own.tobytes())) for part, own in enumerate(ids[at : at + 16] for at in range(0, len(ids), 16))]
+    order = token_shards.FeistelPermutation(len(before))
+    slots = order.slot(np.arange(len(before)))
+    want = sorted((int(s), int(s) // 100, *record) for s, record in zip(slots, before))
+    assert [tuple(r) for r in got] == want
+    assert (order.index(slots) == np.arange(len(before))).all()
     for m in manifest.collect():
         kind = 16 + 16 * 2
         with files.open_file(m.path) as f:
@@ -154,7 +157,7 @@ def test_token_shards(spark, make_docs, odd_docs, tmp_path, pair):
         rest = list(token_shards.read_records(m.path, 16, 2, start=3, count=5))
         if rest:
             assert (rest[0][0] == whole[3:8]).all()
-    assert token_shards.read_back(token_shards.write_shards(docs.limit(0), tokenizer_path("byte_bpe_50k.tiktoken"), 50256, f"file://{tmp_path}/none")).count() == 0
+    assert token_shards.read_back(token_shards.write_shards(docs.limit(0), vocabulary, 50256, f"file://{tmp_path}/none")).count() == 0
 
 
 # JPEG
