@@ -130,6 +130,15 @@ def test_feistel_is_a_bijection(n, key):
     assert sorted(slots.tolist()) == list(range(n)) and (order.index(slots) == np.arange(n)).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from(ALPHABET), max_size=40), max_size=5))
+def test_token_ids_equal_library(pair, texts):
+    _, library = pair
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        got = list(token_shards.token_ids(f.read(), token_shards.pa.array(texts, token_shards.pa.string())))
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_shards(spark, make_docs, odd_docs, tmp_path, pair):
     """Every record against the library's ids, and its slot against the permutation of its place in the input."""
     _, library = pair
