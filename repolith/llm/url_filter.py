@@ -3,9 +3,11 @@
 Urls are first reduced to shapes: host and path segments, runs of digits and long hexadecimal parts masked.
 Shapes with counts are what the tree is grown from, level by level, for all hosts at once: a segment that
 takes too many values under its parent becomes a wildcard unless a value is frequent on its own, and
-sibling branches whose children are distributed alike, and which hold labelled urls alike, are merged. A
-template is rejected if the smoothed share of rejected among its labelled urls is high. All of it is
-DataFrame code on aggregated rows; a host with a third of all urls is as many rows as it has shapes.
+sibling branches whose children are distributed alike, and which lean to the same verdict, are merged. A
+template is rejected if the smoothed share of rejected among its labelled urls is high. Smoothing backs off
+to the same shapes on other hosts, and from there to the share among all labelled urls, so hosts without
+labels are judged by what others serve under such paths. All of it is DataFrame code on aggregated rows; a
+host with a third of all urls is as many rows as it has shapes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from .common import ascii_lower, cut
 
 MOST_CHILDREN = 20
 OWN_SHARE = 0.05
-MOST_DEPTH = 6
 #: Sibling branches are alike within this total variation distance of their children.
 APART = 0.25
 #: The prior weighs as many labelled urls; templates at or above the purity are rejected.
@@ -59,18 +60,15 @@ def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, action
 
 
-def shape(path: Column, most_depth: int | None = MOST_DEPTH) -> Column:
-    """The path's segments with variable parts masked; segments from ``most_depth`` on become one ``**``, none if it is null."""
+def shape(path: Column) -> Column:
+    """The path's segments with variable parts masked."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
 
     def mask(p: Column) -> Column:
         long_hex = p.rlike(r"^[0-9A-Fa-f-]{8,}$") & p.rlike(r"[0-9]")
         return F.when(long_hex & p.rlike(r"[A-Fa-f]"), F.lit("{x}")).otherwise(F.regexp_replace(p, r"[0-9]+", "{n}"))
 
-    masked = F.transform(parts, mask)
-    if most_depth is None:
-        return masked
-    return F.when(F.size(masked) > most_depth, F.concat(F.slice(masked, 1, most_depth - 1), F.array(F.lit("**")))).otherwise(masked)
+    return F.transform(parts, mask)
 
 
 def joined(pairs: Column) -> Column:
@@ -86,9 +84,21 @@ def joined(pairs: Column) -> Column:
 
 
 def grow_templates(urls: DataFrame) -> DataFrame:
-    """``host, parts, label`` (1 reject, 0 accept, null unknown) -> ``host, parts, template, purity`` for every shape."""
-    t = cut(urls.groupBy("host", "parts").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("good")))
-    depth = t.agg(F.max(F.size("parts"))).first()[0] or 0
+    """``host, parts, label`` (1 reject, 0 accept, null unknown) -> ``host, parts, template, purity`` for every shape.
+
+    A shape's leaning is the share of rejected among its labelled urls on other hosts, smoothed by that among
+    all labelled urls (a half if there are none); a template's purity is the share among its own, smoothed by
+    the mean leaning of its urls. An empty table gives an empty result.
+    """
+    t = urls.groupBy("host", "parts").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("good"))
+    t = cut(t)
+    depth, prior = t.agg(F.max(F.size("parts")), F.try_divide(F.sum("bad"), F.sum(F.col("bad") + F.col("good")))).first()
+    depth, prior = depth or 0, 0.5 if prior is None else prior
+    shared = t.groupBy("parts").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+    others = F.col("all_bad") - F.col("bad") + PRIOR_WEIGHT * F.lit(prior), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good") + PRIOR_WEIGHT
+    t = t.join(shared, "parts").withColumn("leaning", others[0] / others[1]).drop("all_bad", "all_good")
+    # what is known of a shape's urls, and what the leaning says of the rest
+    t = t.withColumn("likely", F.col("bad") + (F.col("n") - F.col("bad") - F.col("good")) * F.col("leaning"))
     t = t.withColumn("template", F.lit(""))
     node, branch = ["host", "template"], ["host", "template", "value"]
     for d in range(depth):
@@ -101,9 +111,9 @@ def grow_templates(urls: DataFrame) -> DataFrame:
         values = values.join(totals, node).select(*branch, F.when(keeps, F.col("value")).otherwise("*").alias("kept"))
         here = here.join(values, branch).drop("value").withColumnRenamed("kept", "value")
 
-        below = here.groupBy(*branch, "below").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        whole = below.groupBy(*branch).agg(F.sum("n").alias("branch_n"), F.sum("bad").alias("branch_bad"))
-        kind = F.floor(F.col("branch_bad") / F.col("branch_n") * 2.999).cast("int")
+        below = here.groupBy(*branch, "below").agg(F.sum("n").alias("n"), F.sum("likely").alias("likely"))
+        whole = below.groupBy(*branch).agg(F.sum("n").alias("branch_n"), F.sum("likely").alias("branch_likely"))
+        kind = F.floor(F.col("branch_likely") / F.col("branch_n") * 2.999).cast("int")
         below = below.join(whole.withColumn("kind", kind), branch).withColumn("own_share", F.col("n") / F.col("branch_n"))
         # children as the next level will have them: wildcards for those that it would not keep
         size = below.where(F.col("below") != "").groupBy(*branch).agg(F.count("*").alias("children"), F.sum("n").alias("total"))
@@ -121,14 +131,12 @@ def grow_templates(urls: DataFrame) -> DataFrame:
         near = near.withColumn("merged", F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_set("value").over(names)), "|"), F.lit(")"))).drop("least")
         here = here.join(near, branch, "left").withColumn("grown", F.concat("template", F.lit("/"), F.coalesce("merged", "value")))
         ended = t.where(F.col("value").isNull()).withColumn("grown", F.col("template"))
-        columns = ["host", "parts", "n", "bad", "good", F.col("grown").alias("template")]
+        columns = ["host", "parts", "n", "bad", "good", "leaning", "likely", F.col("grown").alias("template")]
         t = cut(here.select(*columns).unionByName(ended.select(*columns)))
-    rates = t.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-    prior = t.agg((F.sum("bad") / F.sum(F.col("bad") + F.col("good"))).alias("prior"))
-    # one row
-    rates = rates.crossJoin(F.broadcast(prior))
-    smoothed = (F.col("all_bad") + PRIOR_WEIGHT * F.coalesce("prior", F.lit(0.5))) / (F.col("all_bad") + F.col("all_good") + PRIOR_WEIGHT)
-    return t.select("host", "parts", "template").join(rates.select("host", "template", smoothed.alias("purity")), ["host", "template"])
+    leaning = F.sum(F.col("n") * F.col("leaning")) / F.sum("n")
+    purity = (F.sum("bad") + PRIOR_WEIGHT * leaning) / (F.sum("bad") + F.sum("good") + PRIOR_WEIGHT)
+    rates = t.groupBy("host", "template").agg(purity.alias("purity"))
+    return t.select("host", "parts", "template").join(rates, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -136,14 +144,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
 
     The longest rule that fits decides; urls that rules decide are the labels of the template tree, and it
     decides the rest. Null urls and urls without ``://`` have an empty host and path and the empty template.
-    Hosts without labelled urls fall to the prior, the share of rejected among all labelled (a half if there
-    are none), which accepts unless that share is above the purity. Rows repeat as they come and extra
-    columns are not read; an empty table gives an empty result.
+    Hosts without labelled urls are judged by the same shapes on other hosts, and shapes that no label has
+    shown by the share of rejected among all labelled urls (a half if there are none). Rows repeat as they
+    come and extra columns are not read; an empty table gives an empty result.
     """
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), action.alias("action"), shape(F.col("path"), None).alias("parts"))
+    rows = rows.select("*", rule.alias("rule"), action.alias("action"), shape(F.col("path")).alias("parts"))
     label = F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0)
     templates = grow_templates(rows.select("host", "parts", label.alias("label")))
     judged = rows.join(templates, ["host", "parts"], "left")
