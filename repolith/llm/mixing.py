@@ -63,12 +63,14 @@ def mark_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     A document's inclusion odds fall with the square root of its size, so that a sample of so many words
     holds more different documents. Each source closes its gap with the one document whose size fits best.
-    Null texts and texts without words have size 0; whatever copies they get take no words. Rows that
-    repeat an identifier, size and source are decided alike. Reruns agree. A table without rows or
-    without words takes nothing.
+    Null texts and texts without words have size 0; whatever copies they get take no words. Different texts
+    under one identifier (or none) share their odds and come in the order of a hash of the text; only rows
+    that repeat identifier, source and text are decided alike. Reruns agree. A table without rows or without
+    words takes nothing.
     """
     size = word_count(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), tie.alias("tie"))
     base = cut(base.withColumn("odds", random_odds(F.col("id"), seed)))
     # sqrt in thousandths adds up exactly in any order
     root = F.round(F.sqrt(F.greatest(F.col("size"), F.lit(1))) * 1000).cast("long")
@@ -95,20 +97,20 @@ def mark_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = plan.alias("p").join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = cut(plan.select("source", "source_size", "target", "whole", "rest", "scale", F.col("edge.bin").alias("edge_bin"), F.coalesce("edge.before", F.lit(0)).alias("before")))
 
-    inner = Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source").orderBy("rank", "id", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = ranked(base, plan).where(F.col("bin") == F.col("edge_bin")).withColumn("upto", F.col("before") + F.sum("size").over(inner))
-    last = last.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("rank", "id")).alias("last"), F.max("upto").alias("upto"))
+    last = last.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("rank", "id", "tie")).alias("last"), F.max("upto").alias("upto"))
     plan = plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = cut(plan.withColumn("gap", F.col("rest") - F.coalesce("upto", "before")).drop("upto", "before"))
 
-    key = F.struct("rank", "id")
+    key = F.struct("rank", "id", "tie")
     in_sample = (F.col("rest") > 0) & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & F.coalesce(key <= F.col("last"), F.lit(False))))
     fits = ranked(base, plan).where((F.col("rest") > 0) & ~in_sample & (F.col("size") > 0))
-    fits = fits.groupBy("source", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "id")).alias("fit")).where(F.col("fit.off") < F.col("gap"))
-    plan = plan.join(fits.select(F.col("source").alias("s"), F.struct("fit.rank", "fit.id").alias("fit")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    fits = fits.groupBy("source", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "id", "tie")).alias("fit")).where(F.col("fit.off") < F.col("gap"))
+    plan = plan.join(fits.select(F.col("source").alias("s"), F.struct("fit.rank", "fit.id", "fit.tie").alias("fit")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = cut(plan.drop("gap"))
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), tie.alias("tie"))
     rows = ranked(rows.withColumn("odds", random_odds(F.col("id"), seed)), plan)
     copies = F.col("whole") + (in_sample | F.coalesce(key.eqNullSafe(F.col("fit")) & F.col("fit").isNotNull(), F.lit(False))).cast("long")
     return rows.withColumn("copies", copies).select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
