@@ -12,18 +12,20 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import SLICE_ROWS, cut, shared_folder
+from .common import SLICE_ROWS, cut, remove_folder, shared_folder
 
 LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
+NO_RECORD = "urn:no-page"
 #: Repeated digests are broadcast up to this many (about 100 bytes each), else joined by shuffle.
 BROADCAST_DIGESTS = 500_000
 
@@ -54,16 +56,24 @@ def clean(value: object) -> str:
     return str(value).replace("\r", "%0D").replace("\n", "%0A")
 
 
+def urn(page_id: object) -> str:
+    """A record identifier that gives the page's back; a null one has a name of its own."""
+    return f"<{NO_RECORD}>" if page_id is None else f"<{RECORD}{quote(str(page_id), safe='')}>"
+
+
+def page_of(value: str) -> str | None:
+    return unquote(value[len(RECORD) + 1 : -1]) if value.startswith(f"<{RECORD}") else None
+
+
 def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object) -> bytes:
-    own = "" if page_id is None else clean(page_id)
     if refers_to is None:
         kind, block = "response", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     else:
         kind, block = "revisit", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD}{own}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {clean(url)}"] if url else []
     head += [f"WARC-Payload-Digest: sha256:{digest}"]
-    head += [f"WARC-Refers-To: <{RECORD}{clean(refers_to)}>", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []
+    head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -106,8 +116,6 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
 
     A response's size and digest are those of the payload read; a revisit's are its response's.
     """
-    urn = lambda v: v.strip("<>")[len(RECORD) :] or None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
@@ -117,7 +125,7 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
                     for head, block in read_records(f):
                         kind, payload = head["warc-type"], block.partition(b"\r\n\r\n")[2]
                         full = kind == "response"
-                        got.append((urn(head["warc-record-id"]), len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, kind, urn(head["warc-refers-to"]) if not full else None))
+                        got.append((page_of(head["warc-record-id"]), len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, kind, page_of(head["warc-refers-to"]) if not full else None))
                         if len(got) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names)
                             got = []
@@ -138,8 +146,12 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
 def deduplicate(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` as archives with revisits and returns what they hold when read back, a row a record.
 
-    Identifiers come back with their type; an identifier that is null comes back null. An empty table writes
-    no file and gives an empty result.
+    Identifiers of any type come back as they were, percent-encoded in the records; null ones come back null. An
+    empty table writes no file and gives an empty result. Without a ``folder`` the archives are removed once read.
     """
-    manifest = write_archives(resolve_revisits(pages, id_col, url_col, html_col, least), folder or shared_folder(pages.sparkSession, "warc"))
-    return read_archives(manifest, pages.schema[id_col].dataType.simpleString())
+    own = folder or shared_folder(pages.sparkSession, "warc")
+    manifest = write_archives(resolve_revisits(pages, id_col, url_col, html_col, least), own)
+    read = read_archives(manifest, pages.schema[id_col].dataType.simpleString())
+    if folder is None:
+        remove_folder(pages.sparkSession, own)
+    return read
