@@ -1,16 +1,15 @@
 """Near duplicates by SimHash fingerprints at a small Hamming distance.
 
 Fingerprints are made in one pass over whole texts. Equal fingerprints collapse first. Two fingerprints
-within two bits agree on at least two of their four 16-bit blocks, so each distinct fingerprint is dealt
-to the six pairs of blocks, and fingerprints that share a pair of blocks meet in one bucket. A bucket is
-a Gray-order hierarchical index: its members are sorted by Gray rank, runs of eight share a node that
+within two bits agree on at least one of three blocks (22, 21 and 21 bits), so each distinct fingerprint is
+dealt three times, and fingerprints that share a block meet in one bucket. A bucket is a Gray-order hierarchical index: its members are sorted by Gray rank, runs of eight share a node that
 holds the bits all of them agree on, runs of eight nodes share an upper node, and each node keeps only
 the bits that its parent does not. A search adds up the differences on the way down and drops a whole
 group once they exceed the limit. Every bucket returns a spanning forest of its links, at most one link a
 member, so no bucket emits all its pairs; components are then found by star contraction.
 
-Buckets above ``BUCKET_LIMIT`` are dealt again by three blocks of their remaining 32 bits (one of them must
-agree). Such a sub-bucket has 22 free bits at most, which bounds its memory whatever the input.
+Buckets above ``BUCKET_LIMIT`` are dealt again by pairs of four blocks of their remaining 42 or 43 bits (two of
+them must agree). Such a sub-bucket has 22 free bits at most, which bounds its memory whatever the input.
 """
 
 from __future__ import annotations
@@ -166,23 +165,22 @@ def bucket_links(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def find_links(prints: DataFrame, most: int = MOST_BITS, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Distinct fingerprints ``fp`` -> links ``u, v`` whose components are those of all links of at most ``most`` (<= 2) bits."""
     if most > 2:
-        raise ValueError("four blocks find links of up to two bits")
-    block = lambda k: F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF))
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+        raise ValueError("three blocks find links of up to two bits")
+    bits = lambda of, low, width: F.shiftrightunsigned(of, low).bitwiseAND(F.lit((1 << width) - 1))
+    blocks = ((42, 22), (21, 21), (0, 21))
 
-    def other(i: int, j: int) -> Column:
-        a, b = (k for k in range(4) if k not in (i, j))
-        return F.shiftleft(block(a), 16).bitwiseOR(block(b))
+    def other(c: int) -> Column:
+        (high, wide), (low, width) = (b for k, b in enumerate(blocks) if k != c)
+        return F.shiftleft(bits("fp", high, wide), width).bitwiseOR(bits("fp", low, width))
 
-    keys = F.array(*[F.struct(F.lit(c).alias("c"), F.shiftleft(block(i), 16).bitwiseOR(block(j)).alias("k"), other(i, j).alias("o")) for c, (i, j) in enumerate(pairs)])
-    dealt = prints.select("fp", F.inline(keys))
+    dealt = prints.select("fp", F.inline(F.array(*[F.struct(F.lit(c).alias("c"), bits("fp", *b).alias("k"), other(c).alias("o")) for c, b in enumerate(blocks)])))
     sizes = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
     big = sizes.where(F.col("n") > limit).select("c", "k")
     cells = lambda df: df.select("c", "k", "s", "fp").repartition("c", "k", "s").withColumn("g", gray_rank(F.col("fp")))
     small = dealt.join(big, ["c", "k"], "left_anti").withColumn("s", F.lit(0).cast("long"))
-    o = F.col("o")
-    thirds = F.array(*[F.lit(t + 1).cast("long") * (1 << 32) + F.shiftrightunsigned(o, by).bitwiseAND(F.lit(m)) for t, (by, m) in enumerate(((21, 0x7FF), (10, 0x7FF), (0, 0x3FF)))])
-    large = dealt.join(big, ["c", "k"], "left_semi").withColumn("s", F.explode(thirds))
+    parts = [bits("o", low, width) for low, width in ((32, 11), (21, 11), (10, 11), (0, 10))]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    large = dealt.join(big, ["c", "k"], "left_semi").withColumn("s", F.explode(F.array(*[F.lit(t + 1).cast("long") * (1 << 32) + F.shiftleft(parts[i], 11) + parts[j] for t, (i, j) in enumerate(pairs)])))
     rows = cells(small.unionByName(large)).sortWithinPartitions("c", "k", "s", F.col("g") < 0, "g")
     rows = rows.select(F.col("c").cast("long"), F.col("k").cast("long"), "s", "fp")
     return rows.mapInArrow(bucket_links(most), "u long, v long").distinct()
