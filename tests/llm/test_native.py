@@ -168,3 +168,36 @@ def test_mix_rows(spark, make_docs, odd_docs):
 def test_crc_is_unsigned(spark, make_docs, odd_docs):
     for r in make_docs(odd_docs).select("text", F.crc32(F.coalesce("text", F.lit(""))).alias("c")).collect():
         assert r.c == zlib.crc32((r.text or "").encode())
+
+
+def test_shards_of_texts_with_long_common_starts(spark):
+    """Whole texts order: neither a dimension nor identifiers that begin alike fall into one level."""
+    df = spark.createDataFrame([(f"document-{k:05d}", f"https://common.example/{k % 8}", k) for k in range(800)], "doc_id string, source string, n long")
+    placed = sharding.assign_shards(df, [df["source"]], 8, df["doc_id"], F.lit(0), slices=16).select("row.*", "shard", "slot", "curve").collect()
+    by_source = defaultdict(set)
+    for r in placed:
+        by_source[r.source].add(r.curve)
+    assert len({c for cs in by_source.values() for c in cs}) == 8 and all(len(cs) == 1 for cs in by_source.values())
+    assert all(len({r.source for r in placed if r.shard == k}) == 1 for k in range(8))
+    with pytest.raises(ValueError):
+        sharding.assign_shards(df, [df["source"]] * 6, 8, df["doc_id"], F.lit(0))
+
+
+def test_exact_frequent_texts_from_a_sample(spark, make_docs, monkeypatch):
+    """Texts and heads that a sample finds often: salts and slices give the groups of a plain count."""
+    monkeypatch.setattr(exact_dedup, "SEEN", 8)
+    head = "the same twenty-four characters and more "
+    texts = ["Hot one", "hot two " * 9, head.upper() + "hot"]
+    rows = [doc(k, texts[k % 3] if k % 2 else head + str(k % 70)) for k in range(1200)]
+    got = exact_dedup.mark_duplicates(make_docs(rows, 7)).select("row.doc_id", "row.text", "keep_id", "group_size", "kept").collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append(r[0])
+    assert len(got) == 1200 and all((r.keep_id, r.group_size) == (max(groups[norm(r.text)]), len(groups[norm(r.text)])) for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(max(g) for g in groups.values())
+
+
+def test_mix_meets_targets_where_identifiers_repeat(spark, make_docs):
+    rows = [doc(None, " ".join(["w"] * 9 + [f"n{k}"]), "a") for k in range(40)] + [doc(2, " ".join(["w"] * 9 + [f"m{k}"]), "b") for k in range(300)]
+    got = mixing.mark_mix(make_docs(rows)).groupBy("row.source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 10 for r in got)
