@@ -27,7 +27,7 @@ from .common import SLICE_ROWS, release_memory, text_slices
 #: The split of the byte-level pre-tokenizer; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts of texts that a worker remembers, twice over; about 200 bytes each. Longer ones are not kept.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONG = 64
 #: Characters of text that are encoded together.
 BATCH_CHARS = 4_000_000
@@ -388,6 +388,12 @@ class ByteBpe:
             at = m.end()
         return b"".join([*out, *self.encode_strings([text[at:]])])
 
+    def forget(self) -> None:
+        """Gives up what has been remembered, when a task ends: workers are reused, and others may need the memory."""
+        self.words.clear()
+        self.remembered.known, self.remembered.old = {}, {}
+        release_memory()
+
     def decode_batch(self, batch: list[np.ndarray]) -> list[str]:
         of = self.tokens.__getitem__
         return [b"".join(map(of, ids.tolist())).decode("utf-8", "replace") for ids in batch]
@@ -433,7 +439,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                     yield pa.RecordBatch.from_arrays([rows.column(0)[part.start : part.stop], pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "ids"])
-        release_memory()
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -470,7 +476,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode_batch(ids)]
                     columns = [rows.column(0)[part.start : part.stop], pa.array(list(map(len, ids)), pa.int64()), pa.array(listed), pa.array(back)]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        release_memory()
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
