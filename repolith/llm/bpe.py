@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, release_memory, text_slices
+from .common import SLICE_ROWS, released, text_slices
 
 #: The split of the byte-level pre-tokenizer; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -388,12 +388,6 @@ class ByteBpe:
             at = m.end()
         return b"".join([*out, *self.encode_strings([text[at:]])])
 
-    def forget(self) -> None:
-        """Gives up what has been remembered, when a task ends: workers are reused, and others may need the memory."""
-        self.words.clear()
-        self.remembered.known, self.remembered.old = {}, {}
-        release_memory()
-
     def decode_batch(self, batch: list[np.ndarray]) -> list[str]:
         of = self.tokens.__getitem__
         return [b"".join(map(of, ids.tolist())).decode("utf-8", "replace") for ids in batch]
@@ -401,7 +395,7 @@ class ByteBpe:
 
 @functools.lru_cache(2)
 def loaded(spec: bytes) -> ByteBpe:
-    """One encoder a worker and tokenizer."""
+    """One encoder a task and tokenizer: workers are reused, and what runs in them next may need the memory."""
     return ByteBpe(spec)
 
 
@@ -439,10 +433,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                     yield pa.RecordBatch.from_arrays([rows.column(0)[part.start : part.stop], pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "ids"])
-        bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(released(run, lambda: loaded.cache_clear()), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -455,7 +448,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = bpe.decode_batch([np.array(i.as_py() or [], np.int32) for i in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
+    return encoded.select("id", "ids").mapInArrow(released(run, lambda: loaded.cache_clear()), f"id {encoded.schema['id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,7 +469,6 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode_batch(ids)]
                     columns = [rows.column(0)[part.start : part.stop], pa.array(list(map(len, ids)), pa.int64()), pa.array(listed), pa.array(back)]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(released(run, lambda: loaded.cache_clear()), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

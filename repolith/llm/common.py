@@ -9,7 +9,7 @@ import shutil
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +82,18 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = SLICE_ROWS)
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches; what it held is given back once it has ended and let go of it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if forget:
+            forget()
+        release_memory()
+
+    return whole
+
+
 def release_memory() -> None:
     """Gives freed memory back when a task ends: workers are reused, and an idle one keeps what it had."""
     gc.collect()

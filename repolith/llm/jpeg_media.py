@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, release_memory, text_slices
+from .common import SLICE_ROWS, released, text_slices
 
 BLOCK = 64
 NOTE = b"blocks="
@@ -329,10 +329,9 @@ def add_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     padded = [t + bytes(-len(t) % BLOCK or BLOCK * (not t)) for t in texts[part]]
                     columns = [some.column(0)[part.start : part.stop], pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(store(padded), pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media"])
-        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def by_size(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
@@ -368,4 +367,4 @@ def read_media(media: DataFrame) -> DataFrame:
                 ], names)
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("id", "n_bytes", "media").mapInArrow(released(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

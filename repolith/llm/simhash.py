@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory
+from .common import cut, released
 
 SHINGLE = 3
 SEED = 42
@@ -65,10 +65,9 @@ def add_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
-        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -183,7 +182,7 @@ def find_links(prints: DataFrame, most: int = MOST_BITS, limit: int = BUCKET_LIM
     large = dealt.join(big, ["c", "k"], "left_semi").withColumn("s", F.explode(F.array(*[F.lit(t + 1).cast("long") * (1 << 32) + F.shiftleft(parts[i], 11) + parts[j] for t, (i, j) in enumerate(pairs)])))
     rows = cells(small.unionByName(large)).sortWithinPartitions("c", "k", "s", F.col("g") < 0, "g")
     rows = rows.select(F.col("c").cast("long"), F.col("k").cast("long"), "s", "fp")
-    return rows.mapInArrow(bucket_links(most), "u long, v long").distinct()
+    return rows.mapInArrow(released(bucket_links(most)), "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

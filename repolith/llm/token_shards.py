@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import SLICE_ROWS, cut, release_memory, shuffle_partitions
+from .common import SLICE_ROWS, cut, released, shuffle_partitions
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -126,10 +126,9 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
         for batch in batches:
             for at in range(0, len(batch), SLICE_ROWS):
                 n += sum(-(-(len(ids) + 1) // length) for ids in token_ids(ranks.value, batch.column(1).slice(at, SLICE_ROWS)))
-        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
 
-    parts = rows.mapInArrow(count, "partition long, n long").where("n > 0").orderBy("partition").limit(MOST_PARTITIONS + 1).collect()
+    parts = rows.mapInArrow(released(count), "partition long, n long").where("n > 0").orderBy("partition").limit(MOST_PARTITIONS + 1).collect()
     if len(parts) > MOST_PARTITIONS:
         raise ValueError("too many input partitions for a table of offsets; read with larger splits")
     counts = np.array([p["n"] for p in parts], np.int64)
@@ -156,7 +155,6 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
                 yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(records, pa.binary())], ["shard", "slot", "record"])
         if done != expected:
             raise RuntimeError("the input has changed since it was counted")
-        release_memory()
 
     stride = HEADER.itemsize + length * width
 
@@ -187,8 +185,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, length
     shards = max(1, -(-total // per_shard))
     tasks = min(shards, shuffle_partitions(spark))
     part = F.expr(f"cast(shard * {tasks} div {shards} as int)")
-    dealt = rows.mapInArrow(cut_up, "shard long, slot long, record binary").repartitionById(tasks, part).sortWithinPartitions("shard", "slot")
-    manifest = dealt.mapInArrow(write, "shard long, path string, sequences long")
+    dealt = rows.mapInArrow(released(cut_up), "shard long, slot long, record binary").repartitionById(tasks, part).sortWithinPartitions("shard", "slot")
+    manifest = dealt.mapInArrow(released(write), "shard long, path string, sequences long")
     return cut(manifest.withColumn("length", F.lit(length)).withColumn("width", F.lit(width)))
 
 
@@ -220,4 +218,4 @@ def read_back(manifest: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "doc_id", "part", "n_tokens", "ids_crc32"])
                     slot += n
 
-    return manifest.mapInArrow(run, "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long")
+    return manifest.mapInArrow(released(run), "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, text_slices
+from .common import release_memory, released, text_slices
 
 #: The fit reads at most so many labelled documents of each class; its first round at most so many.
 MOST_LABELLED = 2_000
@@ -269,10 +269,9 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
                 held = [held_out("" if i is None else str(i)) for i in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["id", "held_out", "score", "predicted"])
         del scorer
-        release_memory()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
@@ -291,6 +290,5 @@ def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Data
                 accepted = pa.array(scorer(texts) < THRESHOLD)
                 yield part.filter(accepted)
         del scorer
-        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
