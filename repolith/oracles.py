@@ -79,7 +79,7 @@ R: dict[str, tuple[str, str]] = {
         FROM tangled f LEFT JOIN func_reads r ON r.func_key = f.key LEFT JOIN own_history h ON h.path = f.path AND h.func_id = f.func_id"""),
     # every function under its file and each directory above
     "under": ("sized", "SELECT s.*, unnest([s.path, d2, d1, '']) AS node FROM sized s"),
-    "bodies": ("", r"SELECT doc_id, source, regexp_replace(b.text, '[^\x00-\x7F]', '', 'g') AS doc, regexp_replace(d.text, '[^\x00-\x7F]', '', 'g') AS body, split_part(regexp_replace(d.text, '[^\x00-\x7F]', '', 'g'), chr(10), 1) AS signature FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40"),
+    "bodies": ("", r"SELECT doc_id, source, b.text AS doc, d.text AS body, split_part(d.text, chr(10), 1) AS signature FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40"),
     "subjects": ("", "SELECT doc_id AS id, source AS path, n_chars FROM documents"),
 }
 
@@ -90,10 +90,12 @@ STRUCTURAL = (
 
 
 def words(text: str) -> str:
-    """List of distinct vocabulary words of an ASCII text."""
-    apart = f"regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+    """List of distinct vocabulary words of a text."""
+    humps = r"'([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'"
     # a second pass splits what the first match consumed
-    return f"list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace({apart}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) >= 3 AND NOT list_contains(string_split('{STRUCTURAL}', ' '), w)))"
+    apart = f"regexp_replace(regexp_replace({text}, {humps}), {humps})"
+    plain = r"'[^\p{L}\p{N}]+', ' ', 'g'"
+    return f"list_distinct(list_filter(string_split(lower(regexp_replace({apart}, {plain})), ' '), lambda w: strlen(w) >= 3 AND NOT list_contains(string_split('{STRUCTURAL}', ' '), w)))"
 
 
 def sql(needs: str, select: str) -> str:
@@ -251,15 +253,15 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, count(*) OVER (PARTITION BY lang, shape) AS clone_count, min(key) OVER (PARTITION BY lang, shape) AS first FROM s)
         SELECT key, dense_rank() OVER (ORDER BY first) AS clone_group, clone_count FROM g WHERE clone_count > 1""",
     "jaccard_shingles": r"""
-        WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(min(text), '[^\x00-\x7F]', '', 'g'), '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') AS w FROM conversations WHERE turn < 2 GROUP BY ALL),
+        WITH t AS (SELECT conv_id, turn, regexp_extract_all(min(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM conversations WHERE turn < 2 GROUP BY ALL),
         g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
         p AS (SELECT a.conv_id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS k FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
         SELECT conv_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE k / (len(a) + len(b) - k) END, 6) AS similarity, len(a) AS n_a, len(b) AS n_b FROM p""",
     "vocabulary_novelty": sql("bodies", f", w AS (SELECT doc_id, {words('body')} AS b, {words('signature')} AS s FROM bodies) SELECT doc_id, round(CASE WHEN len(b) < 8 THEN 0.5 ELSE least(greatest((len(list_filter(b, lambda x: NOT list_contains(s, x))) / len(b) - 0.35) / (0.85::DOUBLE - 0.35::DOUBLE), 0), 1) END, 6) AS novelty FROM w"),
-    "branch_density": sql("bodies", r""", w AS (SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE len(string_split(regexp_replace(body, '\n\z', ''), chr(10))) END AS lines, len(list_filter(regexp_split_to_array(body, '[^A-Za-z0-9&|?]'), lambda x: x IN ('if', 'else', 'match', 'case', 'switch', 'for', 'while', 'loop', 'try', 'catch', 'except', '&&', '||', '?'))) AS hits FROM bodies)
+    "branch_density": sql("bodies", r""", w AS (SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE len(string_split(regexp_replace(body, '\n\z', ''), chr(10))) END AS lines, len(list_filter(regexp_split_to_array(body, '[^\p{L}\p{N}&|?]'), lambda x: x IN ('if', 'else', 'match', 'case', 'switch', 'for', 'while', 'loop', 'try', 'catch', 'except', '&&', '||', '?'))) AS hits FROM bodies)
         SELECT doc_id, lines, round(CASE WHEN lines < 5 THEN 0.5 ELSE least(greatest((hits / lines - 0.02) / (0.25::DOUBLE - 0.02::DOUBLE), 0), 1) END, 6) AS density FROM w"""),
     "doc_coverage": sql("bodies", f", w AS (SELECT doc_id, doc, {words('body')} AS b, {words('signature')} AS s, {words('doc')} AS d FROM bodies), o AS (SELECT doc_id, doc, list_filter(b, lambda x: NOT list_contains(s, x)) AS open, list_filter(d, lambda x: NOT list_contains(s, x)) AS d FROM w) SELECT doc_id, round(CASE WHEN doc IS NULL THEN 0 WHEN len(open) = 0 THEN 1 ELSE least(len(list_intersect(open, d)) / len(open) / 0.4::DOUBLE, 1) END, 6) AS coverage FROM o"),
-    "body_pins": r"SELECT doc_id, substr(sha256(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[ \t\n\x0B\f\r]+', '', 'g')), 1, 12) AS pin FROM documents",
+    "body_pins": r"SELECT doc_id, substr(sha256(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')), 1, 12) AS pin FROM documents",
     "readings_tally": tally(""),
     "tally_by_model": tally("model"),
     "tally_grouping_sets": sql("graded", "SELECT 'model' AS by, model AS value, count(*) AS readings, count(*) FILTER (WHERE trap) AS traps FROM graded GROUP BY model UNION ALL SELECT 'position', position::VARCHAR, count(*), count(*) FILTER (WHERE trap) FROM graded GROUP BY position"),

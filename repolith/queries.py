@@ -399,16 +399,15 @@ def jaccard_shingles(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations' first turns against their second, by token shingles."""
     c = t.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     a, b = c.where("turn = 0").select("conv_id", F.col("text").alias("a")), c.where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    ascii_ = lambda x: F.regexp_replace(x, r"[^\x00-\x7F]", "")
-    both = a.join(b, "conv_id").select("conv_id", text.shingles(ascii_(F.col("a"))).alias("a"), text.shingles(ascii_(F.col("b"))).alias("b"))
+    both = a.join(b, "conv_id").select("conv_id", text.shingles(F.col("a")).alias("a"), text.shingles(F.col("b")).alias("b"))
     return rounded(both.select("conv_id", text.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.size("a").alias("n_a"), F.size("b").alias("n_b")), "similarity")
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents in ASCII as bodies; the first line is the signature, a benchmark item the comment."""
+    """Documents as bodies; the first line is the signature, a benchmark item the comment."""
     d = t.table(spark, sf, "documents")
-    b = t.table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("doc"))
-    d = d.select("doc_id", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("body"), (F.col("doc_id") % 40).alias("item"))
+    b = t.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("doc"))
+    d = d.select("doc_id", "source", F.col("text").alias("body"), (F.col("doc_id") % 40).alias("item"))
     # the benchmark is a fixed list of items
     d = d.join(F.broadcast(b), d.item == b.item_id, "left")
     return d.select("doc_id", "source", "doc", F.substring_index("body", "\n", 1).alias("signature"), "body")
@@ -443,7 +442,7 @@ def proxy_surprise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def body_pins(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "documents").select("doc_id", grades.body_pin(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("pin"))
+    return t.table(spark, sf, "documents").select("doc_id", grades.body_pin(F.col("text")).alias("pin"))
 
 
 @query
