@@ -30,7 +30,7 @@ def locality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("node", incident.alias("incident"), away.alias("away"), F.when(incident > 0, away / incident).alias("gap"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Materialises a round where the cluster can find it again: a checkpoint if a folder is set, else the cache."""
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return df.checkpoint()
@@ -49,11 +49,11 @@ def under_test(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     tests = nodes.where("is_test").select("node")
     walkable = nodes.where("is_test is null or not is_test").select("node")
     inner = edges.join(walkable.withColumnRenamed("node", "dst"), "dst").select("src", "dst")
-    frontier = _cut(inner.join(tests.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+    frontier = cut(inner.join(tests.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
     reached = frontier
     while not frontier.isEmpty():
         step = inner.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(reached, "node", "left_anti"))
+        frontier = cut(step.join(reached, "node", "left_anti"))
         reached = reached.unionByName(frontier)  # of parts that are all materialised
     hit = reached.withColumn("hit", F.lit(1))
     return nodes.join(hit, "node", "left").select("node", F.when(F.col("is_test").isNotNull(), F.coalesce("hit", F.lit(0))).alias("under_test"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import BAND_ENDS, LEAST_MEMBERS, band
 from ..functions.paths import ancestors, parent
+from .graph import cut
 
 HOT = 0.5
 
@@ -39,7 +40,8 @@ def tree_rollup(functions: DataFrame) -> DataFrame:
     def up(df: DataFrame) -> DataFrame:
         return df.select(parent(F.col("path")).alias("up"), "loc", "ncloc", "funcs", "cognitive", "w", "s", "d", "c", "age", "touched", "tangle", F.when(F.col("tangle").isNotNull(), F.greatest("loc", F.lit(1)).cast("double")).alias("tw"), "a", "h", "callers", "calls")
 
-    files = level(nodes)
+    # each level is computed once, whatever stands on it
+    files = cut(level(nodes))
     depth = files.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
     steps = F.size(F.split("path", "/"))
     out, below = [files.withColumn("kind", F.lit("file"))], files
@@ -47,7 +49,7 @@ def tree_rollup(functions: DataFrame) -> DataFrame:
         # nodes at this depth whose parents are one up; shallower files wait their turn
         here = below.where((steps == d) & (F.col("path") != ""))
         waiting = below.where((steps < d) & (F.col("path") != ""))
-        dirs = level(up(here))
+        dirs = cut(level(up(here)))
         out.append(dirs.withColumn("kind", F.lit("dir")))
         below = waiting.unionByName(dirs)
     every = out[0]

@@ -261,6 +261,7 @@ ORACLES: dict[str, str] = {
     "branch_density": sql("bodies", r""", w AS (SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE len(string_split(regexp_replace(body, '\n\z', ''), chr(10))) END AS lines, len(list_filter(regexp_split_to_array(body, '[^\p{L}\p{N}&|?]'), lambda x: x IN ('if', 'else', 'match', 'case', 'switch', 'for', 'while', 'loop', 'try', 'catch', 'except', '&&', '||', '?'))) AS hits FROM bodies)
         SELECT doc_id, lines, round(CASE WHEN lines < 5 THEN 0.5 ELSE least(greatest((hits / lines - 0.02) / (0.25::DOUBLE - 0.02::DOUBLE), 0), 1) END, 6) AS density FROM w"""),
     "doc_coverage": sql("bodies", f", w AS (SELECT doc_id, doc, {words('body')} AS b, {words('signature')} AS s, {words('doc')} AS d FROM bodies), o AS (SELECT doc_id, doc, list_filter(b, lambda x: NOT list_contains(s, x)) AS open, list_filter(d, lambda x: NOT list_contains(s, x)) AS d FROM w) SELECT doc_id, round(CASE WHEN doc IS NULL THEN 0 WHEN len(open) = 0 THEN 1 ELSE least(len(list_intersect(open, d)) / len(open) / 0.4::DOUBLE, 1) END, 6) AS coverage FROM o"),
+    "decision_reopens": "SELECT 'd' || doc_id AS key FROM documents WHERE n_chars >= 200 AND NOT (doc_id % 2 = 0 AND doc_id % 5 <> 0)",
     "body_pins": r"SELECT doc_id, substr(sha256(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')), 1, 12) AS pin FROM documents",
     "readings_tally": tally(""),
     "tally_by_model": tally("model"),

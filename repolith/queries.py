@@ -145,6 +145,17 @@ def decision_settled(spark: SparkSession, sf: str) -> DataFrame:
     return findings.live_hits(f, [parse(SINGLE)], made_decisions(f))[1]
 
 
+@query
+def decision_reopens(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions on every other document; since then one body in five has changed, the others in white space alone."""
+    d = t.table(spark, sf, "documents")
+    at = lambda body: d.select(F.concat(F.lit("d"), "doc_id").alias("key"), F.col("source").alias("path"), F.lit("f").alias("name"), F.lit("func").alias("kind"), F.col("doc_id").alias("line"), grades.body_pin(body).alias("pin"), F.col("n_chars").cast("double").alias("loc"))
+    rule = parse(SINGLE)
+    before = at(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " more").otherwise(" \n\t"))).where(F.col("line") % 2 == 0)
+    made = before.where(findings.matches(rule)).select("key", F.lit(rule.id).alias("rule"), F.lit("fine-for-now").alias("verdict"), findings.pin(rule).alias("pin"), F.lit(0).alias("seq"))
+    return findings.live_hits(at(F.col("text")), [rule], made)[0].select("key")
+
+
 @query
 def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
     return findings.verdict_counts(made_decisions(plain_facts(spark, sf)))
