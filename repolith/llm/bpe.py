@@ -22,15 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, released, text_slices
+from .common import released, text_slices
 
 #: The split of the byte-level pre-tokenizer; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts of texts that a worker remembers, twice over; about 200 bytes each. Longer ones are not kept.
-REMEMBERED = 250_000
+#: Parts of texts that a worker remembers, twice over; about 400 bytes each with the words in them. Longer ones are not kept.
+REMEMBERED = 80_000
 LONG = 64
 #: Characters of text that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 NEVER = 1 << 40
 #: No merge; sorts after all merges.
 NONE = (NEVER, -1)
@@ -462,7 +462,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            for rows, texts in text_slices(batch, rows=4 * SLICE_ROWS):
+            for rows, texts in text_slices(batch):
                 for part in slices(texts):
                     ids = bpe.encode_batch(texts[part])
                     listed = [hashlib.sha256(b",".join(map(bpe.names.__getitem__, i.tolist()))).hexdigest() for i in ids]
