@@ -26,8 +26,15 @@ def loc(start: Column, end: Column) -> Column:
     return F.greatest(end - start + 1, F.lit(0))
 
 
-def ncloc(body: Column, comment: str = r"^\s*(#|//)") -> Column:
-    """Lines that hold more than white space and a line comment."""
+#: Comments over any number of characters: between slashes and stars, and texts that stand alone at the start of a line.
+BLOCKS = (r"/\*{}*?\*/", r"(?m)^[ \t]*\"\"\"{}*?\"\"\"", r"(?m)^[ \t]*'''{}*?'''")
+
+
+def ncloc(body: Column, comment: str = r"^\s*(#|//)", blocks: tuple[str, ...] = BLOCKS) -> Column:
+    """Lines that hold more than white space and comments; a block comment within a string counts as one."""
+    for block in blocks:
+        # one of several lines leaves the lines before and behind it apart
+        body = F.regexp_replace(F.regexp_replace(body, block.format(r"[^\n]"), ""), block.format(r"[\s\S]"), "\n")
     return F.size(F.filter(F.split(body, "\n"), lambda line: ~line.rlike(r"^\s*$") & ~line.rlike(comment)))
 
 

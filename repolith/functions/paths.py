@@ -45,3 +45,13 @@ def common_dir(paths: list[str]) -> str:
         parts = p.split("/")[:-1]
         shared = parts if shared is None else shared[: next((k for k, (a, b) in enumerate(zip(shared, parts, strict=False)) if a != b), min(len(shared), len(parts)))]
     return "/".join(shared or [])
+
+
+def common_dirs(files: DataFrame, by: str) -> DataFrame:
+    """``by, dir``: the deepest directory that holds all paths of a group; two strings a group are kept, not its paths."""
+    dirs = F.concat(parent(F.col("path")), F.lit("/"))
+    ends = files.where("path is not null").groupBy(by).agg(F.min(dirs).alias("a"), F.max(dirs).alias("b"))
+    a, b = F.split("a", "/"), F.split("b", "/")
+    steps = F.sequence(F.lit(1), F.least(F.size(a), F.size(b)))
+    same = F.coalesce(F.array_max(F.filter(steps, lambda i: F.slice(a, 1, i) == F.slice(b, 1, i))), F.lit(0))
+    return ends.select(by, F.regexp_replace(F.array_join(F.slice(a, 1, same), "/"), "/$", "").alias("dir"))

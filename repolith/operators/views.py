@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import inside, parent
+from ..functions.paths import inside, parent, ancestors
 
 #: The work budget and what git work costs, in seconds.
 BUDGET_S = 10.0
@@ -145,3 +145,27 @@ def attach_unparsed(dirs: DataFrame, unparsed: DataFrame) -> DataFrame:
 def author_category(rows: DataFrame, by: str) -> Column:
     """What a legend colours by: the language, the author of the newest line, or who has the most."""
     return {"lang": F.col("lang"), "newest": F.col("last_author"), "pile": F.col("main_author")}[by]
+
+
+def in_scope(nodes: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Nodes of which neither the path nor a directory above it is excluded; the root ``''`` excludes everything.
+
+    Ancestors are exploded as paths alone and meet the excluded ones by key, so a hot directory is one row of the smaller side.
+    """
+    above = nodes.select("path").distinct().select("path", F.explode(ancestors(F.col("path"), itself=True)).alias("up"))
+    out = above.join(excluded.select(F.col("path").alias("up")).distinct(), "up", "left_semi").select("path").distinct()
+    return nodes.join(out, "path", "left_anti")
+
+
+def functions_of(functions: DataFrame, paths: DataFrame, columns: Iterable[str] = ()) -> DataFrame:
+    """The functions in some files, with the named columns only (none: all)."""
+    return functions.join(paths.select("path").distinct(), "path", "left_semi").select(*(list(columns) or functions.columns))
+
+
+def replay_rollup(files: DataFrame) -> DataFrame:
+    """``path, loc, funcs, commits`` of a replay's files -> the same of each directory above: sums, but of commits the greatest.
+
+    A replay knows no set of commits of a directory, so the busiest file stands for it.
+    """
+    up = files.select(F.explode(ancestors(F.col("path"))).alias("dir"), "loc", "funcs", "commits")
+    return up.groupBy(F.col("dir").alias("path")).agg(F.sum("loc").alias("loc"), F.sum("funcs").alias("funcs"), F.max("commits").alias("commits"))

@@ -314,4 +314,42 @@ ORACLES: dict[str, str] = {
     "cache_prune": sql("touches files", "SELECT path, count(*) AS entries FROM touches JOIN files USING (path) WHERE file_id % 3 <> 0 GROUP BY path"),
     "retested_nodes": sql("nodes", "SELECT node, CASE WHEN node % 3 = 0 AND node % 4 <> 0 THEN node % 2 = 0 ELSE is_test END AS is_test, CASE WHEN node % 4 = 0 THEN 'contract' WHEN node % 3 = 0 THEN 'reading' WHEN is_test IS NOT NULL THEN 'convention' END AS how FROM nodes"),
     "contents_once": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "line_spans": "SELECT l_orderkey, l_linenumber, greatest(l_suppkey % 9 - l_linenumber + 1, 0)::BIGINT AS loc FROM lineitem",
+    # the text between the comments is counted line by line, the rest is known
+    "bare_lines": r"SELECT doc_id, (len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[ \t\r\f\v]*$') AND NOT regexp_matches(l, '^[ \t\r\f\v]*(#|//)'))) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS ncloc FROM documents",
+    "age_ramps": sql("", "SELECT o_orderkey, round(CASE WHEN span < 1 THEN 1 ELSE least(greatest(1 - log10(d + 1) / log10(span + 1), 0), 1) END, 6) AS ramp FROM (SELECT o_orderkey, greatest(epoch(NOW) - epoch(o_orderdate::TIMESTAMP), 0) / 86400.0::DOUBLE AS d, (o_orderkey % 4000)::DOUBLE AS span FROM orders)"),
+    "share_ramps": "SELECT s_suppkey, round(CASE WHEN s_suppkey % 40 >= 25 THEN 1 ELSE pow((s_suppkey % 40) / 25.0::DOUBLE, 0.7) END, 6) AS ramp FROM supplier",
+    "spelled_numbers": "SELECT p_partkey, CASE WHEN p_partkey * 7 >= 3650 THEN round(p_partkey * 7 / 365.0::DOUBLE)::BIGINT::VARCHAR ELSE printf('%.1f', p_partkey * 7 / 365.0::DOUBLE) END AS years, format('{:,}', p_partkey::BIGINT * 1000) || ['', '.25', '.50', '.75'][p_partkey % 4 + 1] AS number FROM part",
+    "dated_readings": "SELECT doc_id, doc_id % 7 = 0 OR doc_id % 5 < 2 AS legible, doc_id % 7 = 0 OR doc_id % 5 < 3 AS trap FROM labels",
+    "testness_by_convention": """
+        SELECT page_id, CASE l WHEN 0 THEN page_id % 5 = 0 OR s = 1 WHEN 1 THEN s = 3 WHEN 2 THEN s <> 0 WHEN 3 THEN s = 1 OR s = 3 WHEN 4 THEN s = 3 ELSE CASE WHEN s = 2 OR page_id % 7 = 0 THEN true END END AS is_test,
+               CASE WHEN l < 2 THEN 'contract' WHEN l < 5 OR s = 2 THEN 'convention' WHEN page_id % 7 = 0 THEN 'declared' END AS how
+        FROM (SELECT page_id, page_id % 6 AS l, page_id // 6 % 4 AS s FROM pages)""",
+    "call_qualifiers": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN 'o' || p_partkey % 9 END AS qualifier FROM part",
+    "remote_slugs": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'o' || s_suppkey % 5 || '/r' || s_suppkey END AS slug FROM supplier",
+    "legend_categories": sql("lines", """
+        , newest AS (SELECT path, author AS newest FROM lines QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, line_no) = 1),
+        pile AS (SELECT path, author AS pile FROM lines GROUP BY path, author QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(line_no) DESC) = 1)
+        SELECT * FROM newest JOIN pile USING (path)"""),
+    "trace_estimate": "SELECT 1.0::DOUBLE AS log, round(b, 6) AS blame, round(e, 6) AS edits, round(1 + b + e, 6) AS total, 1 + b + e <= 10 AS affordable FROM (SELECT (SELECT count(*) FROM supplier) * 0.034::DOUBLE AS b, (SELECT count(*) FROM orders) * 0.01::DOUBLE AS e)",
+    "lens_open": sql("functions", "SELECT unnest(['tangle', 'tests', 'blank']) AS lens, unnest([bool_or(cognitive IS NOT NULL), bool_or(is_test IS NOT NULL), false]) AS open FROM functions"),
+    "resync_file": sql("functions", """
+        SELECT path, func_id, func_id + CASE WHEN first THEN 10 ELSE 0 END AS start_line, loc + CASE WHEN first THEN 1 ELSE 0 END AS loc, CASE WHEN first THEN 'new' ELSE 'old' END AS body_hash
+        FROM (SELECT *, path = (SELECT min(path) FROM functions) AS first FROM functions) WHERE NOT (first AND func_id % 3 = 0)"""),
+    "language_families": "SELECT lang, CASE WHEN k < 2 THEN 'c' WHEN k < 5 THEN 'ts' ELSE lang END AS family, count(*) AS n FROM (SELECT p_partkey % 7 AS k, ['c', 'cpp', 'tsx', 'javascript', 'typescript', 'python', 'go'][p_partkey % 7 + 1] AS lang FROM part) GROUP BY ALL",
+    "age_fallback": sql("functions", """
+        SELECT key, CASE WHEN own THEN func_id WHEN file_id % 2 = 1 AND file_id % 5 <> 0 THEN file_id END::DOUBLE AS age, CASE WHEN own THEN func_id / 2.0::DOUBLE WHEN file_id % 2 = 1 AND file_id % 5 <> 0 THEN file_id / 4.0::DOUBLE END AS touched
+        FROM (SELECT *, file_id % 2 = 0 AND func_id % 3 <> 0 AS own FROM functions)"""),
+    "recent_replaced": sql("touches files", "SELECT path, count(*) AS commits, any_value(CASE WHEN file_id % 3 <> 0 THEN file_id ELSE 0 END)::BIGINT AS recent FROM touches JOIN files USING (path) GROUP BY path"),
+    "invalid_reports": "SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 4 IN (1, 3) THEN 'trap without a note' ELSE 'tool syntax in the note' END AS why FROM labels WHERE toxic = 1 AND doc_id % 4 IN (1, 3) OR doc_id % 4 = 2",
+    "unparsed_files": sql("files", "SELECT dir AS path, count(*) AS files, count(*) FILTER (WHERE file_id % 4 = 0) AS unparsed FROM files GROUP BY dir"),
+    "scope_inherited": sql("functions", "SELECT key, loc FROM functions WHERE file_id % 9 <> 0 AND split_part(path, '/', 1) <> 'ASIA'"),
+    "functions_of_files": sql("functions", "SELECT key, loc, cognitive FROM functions WHERE file_id % 4 = 1"),
+    # the longest directory that is above all files of a commit
+    "common_dirs": sql("touches", """
+        , up AS (SELECT sha, path, unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM touches)
+        SELECT sha, arg_max(dir, length(dir)) AS dir FROM (SELECT sha, dir, count(DISTINCT path) AS n FROM up GROUP BY ALL) JOIN (SELECT sha, count(DISTINCT path) AS n FROM touches GROUP BY ALL) USING (sha, n) GROUP BY sha"""),
+    "replay_rollup": sql("functions touches", """
+        , f AS (SELECT path, l, n, c FROM (SELECT path, sum(loc) AS l, count(*) AS n FROM functions GROUP BY path) JOIN (SELECT path, count(*) AS c FROM touches GROUP BY path) USING (path))
+        SELECT dir AS path, sum(l)::BIGINT AS loc, sum(n)::BIGINT AS funcs, max(c) AS commits FROM (SELECT *, unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM f) GROUP BY dir"""),
 }

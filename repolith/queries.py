@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
@@ -647,3 +647,168 @@ def contents_once(spark: SparkSession, sf: str) -> DataFrame:
     known = d.where("path % 2 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
     new, _ = views.parse_once(d, known)
     return new.select("hash")
+
+
+def nth(k: Column, *options: str | Column) -> Column:
+    """One of the options by the remainder of an integer."""
+    return F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in options]), (k % len(options) + 1).cast("int"))
+
+
+@query
+def line_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans from ``l_linenumber`` to a remainder of the supplier; spans that end before they begin are empty."""
+    end = F.col("l_suppkey") % 9
+    return t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", measures.loc(F.col("l_linenumber"), end).cast("long").alias("loc"))
+
+
+@query
+def bare_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies between a block comment and a docstring."""
+    odd = F.col("doc_id") % 2 == 1
+    body = F.concat(F.when(odd, "/* one\ntwo */\n").otherwise("/* one */ x\n"), F.col("text"), F.when(odd, '\n  """a\nb"""\n# c').otherwise("\n// d"))
+    return t.table(spark, sf, "documents").select("doc_id", measures.ncloc(body).cast("long").alias("ncloc"))
+
+
+@query
+def age_ramps(spark: SparkSession, sf: str) -> DataFrame:
+    days, span = measures.days_since(F.col("o_orderdate"), t.now()), (F.col("o_orderkey") % 4000).cast("double")
+    return rounded(t.table(spark, sf, "orders").select("o_orderkey", measures.age_ramp(days, span).alias("ramp")), "ramp")
+
+
+@query
+def share_ramps(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(t.table(spark, sf, "supplier").select("s_suppkey", measures.share_ramp(F.col("s_suppkey") % 40 / 100.0).alias("ramp")), "ramp")
+
+
+@query
+def spelled_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return t.table(spark, sf, "part").select("p_partkey", measures.years(k * 7).alias("years"), measures.thousands((k * 1000 + k % 4 * 0.25).cast("double")).alias("number"))
+
+
+@query
+def dated_readings(spark: SparkSession, sf: str) -> DataFrame:
+    spec = F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 5)
+    return t.table(spark, sf, "labels").select("doc_id", *[grades.dated(spec, axis).alias(axis) for axis in ("legible", "trap")])
+
+
+@query
+def testness_by_convention(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of six languages, plain, in a folder of tests, and named as tests before and behind."""
+    k = F.col("page_id")
+    lang, ext = nth(k, "rust", "go", "python", "typescript", "ruby", "shell"), nth(k, "rs", "go", "py", "ts", "rb", "sh")
+    stem = nth(F.floor(k / 6), "src/a", "tests/a", "src/test_a", "src/a_test")
+    name = nth(F.floor(k / 6), "a", "a", "test_a", "a_test")
+    told = classify.testness(lang, F.concat_ws(".", stem, ext), name, k % 5 == 0, k % 7 == 0)
+    return t.table(spark, sf, "pages").select("page_id", told["is_test"].alias("is_test"), told["how"].alias("how"))
+
+
+@query
+def call_qualifiers(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    owner, called = F.concat(F.lit("o"), k % 9), F.concat(F.lit("f"), k)
+    spelled = nth(k, F.concat(owner, F.lit("."), called), F.concat(F.lit("a::"), owner, F.lit("::"), called), F.concat(owner, F.lit("->"), called), called)
+    return t.table(spark, sf, "part").select("p_partkey", text.call_qualifier(spelled).alias("qualifier"))
+
+
+@query
+def remote_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("o"), k % 5, F.lit("/r"), k)
+    remote = nth(k, F.concat(F.lit("git@host.example:"), name, F.lit(".git")), F.concat(F.lit("https://host.example/"), name, F.lit("/")), F.lit("alone"))
+    return t.table(spark, sf, "supplier").select("s_suppkey", text.slug(remote).alias("slug"))
+
+
+@query
+def legend_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """What each file is coloured by: the author of its newest line, and the one with the most lines."""
+    lines = t.blame_lines(spark, sf)
+    newest = lines.groupBy("path").agg(F.max_by("author", F.struct("ts", -F.col("line_no"))).alias("last_author"))
+    rows = newest.join(history.headcounts(lines), "path").withColumn("lang", F.lit("sql"))
+    return rows.select("path", *[views.author_category(rows, by).alias(by) for by in ("newest", "pile")])
+
+
+@query
+def trace_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    told = views.estimate(t.files(spark, sf).count(), t.commits(spark, sf).count(), 1.0)
+    row = spark.createDataFrame([tuple(told[c] for c in ("log", "blame", "edits", "total", "affordable"))], "log double, blame double, edits double, total double, affordable boolean")
+    return rounded(row, "log", "blame", "edits", "total")
+
+
+@query
+def lens_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Which lenses of the functions have anything to show; nothing is known of the last."""
+    told = views.lens_locks(t.functions(spark, sf).withColumn("nothing", F.lit(None).cast("long")), {"tangle": "cognitive", "tests": "is_test", "blank": "nothing"})
+    return spark.createDataFrame(list(told.items()), "lens string, open boolean")
+
+
+@query
+def resync_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The first file parsed again: a third of its functions is gone, the others have moved."""
+    f = t.functions(spark, sf).select("path", "func_id", "name", "ord", "start_line", "loc", F.lit("old").alias("body_hash"))
+    path = f.agg(F.min("path")).first()[0]
+    fresh = f.where((F.col("path") == path) & (F.col("func_id") % 3 != 0)).select("name", "ord", (F.col("start_line") + 10).alias("start_line"), (F.col("loc") + 1).alias("loc"), F.lit("new").alias("body_hash"))
+    return views.resync(f, fresh, path or "").select("path", "func_id", "start_line", "loc", "body_hash")
+
+
+@query
+def language_families(spark: SparkSession, sf: str) -> DataFrame:
+    lang = nth(F.col("p_partkey"), "c", "cpp", "tsx", "javascript", "typescript", "python", "go")
+    return t.table(spark, sf, "part").select(lang.alias("lang"), graph.family(lang).alias("family")).groupBy("lang", "family").agg(F.count("*").alias("n"))
+
+
+@query
+def age_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files have blame, and in them two thirds of the functions."""
+    f = t.functions(spark, sf)
+    k = F.col("func_id").cast("double")
+    blamed = f.where("file_id % 2 = 0").select("key", "path", F.when(F.col("func_id") % 3 != 0, k).alias("age"), F.when(F.col("func_id") % 3 != 0, k / 2).alias("touched"))
+    by_file = t.files(spark, sf).where("file_id % 5 <> 0").select("path", F.col("file_id").cast("double").alias("age"), (F.col("file_id") / 4.0).alias("touched"))
+    return history.with_file_fallback(f, blamed, by_file)
+
+
+@query
+def recent_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    bank = t.commit_files(spark, sf).groupBy("path").agg(F.count("*").alias("commits")).withColumn("recent", F.lit(7).cast("long"))
+    window = t.files(spark, sf).where("file_id % 3 <> 0").select("path", F.col("file_id").cast("long").alias("recent"))
+    return history.replace_recent(bank, window)
+
+
+@query
+def invalid_reports(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    note = nth(k, "careful", " ", "</invoke> x", F.lit(None).cast("string"))
+    r = t.table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("trap"), note.alias("note"))
+    return views.invalid_reports(r).select("doc_id", "why")
+
+
+@query
+def unparsed_files(spark: SparkSession, sf: str) -> DataFrame:
+    f = t.files(spark, sf)
+    count = lambda df: df.groupBy(F.col("dir").alias("path")).agg(F.count("*").alias("files"))
+    return views.attach_unparsed(count(f), count(f.where("file_id % 4 = 0")).withColumnRenamed("files", "unparsed"))
+
+
+@query
+def scope_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions whose file, nation and region are all in scope; one region and every ninth file are not."""
+    f = t.files(spark, sf)
+    excluded = f.where("file_id % 9 = 0").select("path").union(f.where("path like 'ASIA/%'").select(F.lit("ASIA")).distinct())
+    return views.in_scope(t.functions(spark, sf), excluded).select("key", "loc")
+
+
+@query
+def functions_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    return views.functions_of(t.functions(spark, sf), t.files(spark, sf).where("file_id % 4 = 1"), ("key", "loc", "cognitive"))
+
+
+@query
+def common_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    """The deepest directory of the files of each commit."""
+    return paths.common_dirs(t.commit_files(spark, sf), "sha")
+
+
+@query
+def replay_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = t.functions(spark, sf).groupBy("path").agg(F.sum("loc").alias("loc"), F.count("*").alias("funcs"))
+    return views.replay_rollup(sizes.join(t.commit_files(spark, sf).groupBy("path").agg(F.count("*").alias("commits")), "path"))
