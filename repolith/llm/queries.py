@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jpeg_media, mixing, sharding, simhash, token_shards, toxicity, url_filter, warc
+from . import alignment, bpe, exact_dedup, jpeg_media, mixing, sharding, simhash, spelling, token_shards, topk, toxicity, url_filter, warc
 from .common import cut, read_table, remove_folder, shared_folder
 
 SHARDS = 24
 END_OF_TEXT = 50256
+#: Every vector whose identifier this divides is a query.
+ASKED_EACH = 50
 RULES = [
     url_filter.Rule("block", "net/"),
     url_filter.Rule("allow", "example.net/en/"),
@@ -80,9 +82,23 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % ASKED_EACH == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = (
     op1_hilbert_shards, op2_subword_toxicity, op3_training_order, op4_speculative_bpe, op5_pareto_mix,
     op6_content_sort, op7_jpeg_media, op8_warc_revisits, op9_template_tree, op10_gray_simhash,
+    op11_symmetric_delete, op12_segment_topk, op13_token_alignment,
 )
 
 
@@ -147,5 +163,58 @@ FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL
+), crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), bytes AS (
+  SELECT run, doc_id, n, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: unicode(x)) AS points FROM lowered
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p::BIGINT] ELSE [192::BIGINT + p // 64, 128::BIGINT + p % 64] END))),
+         lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS h
+  FROM bytes, crc_table
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), replaced AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM replaced a JOIN replaced b USING (i, head, tail) WHERE a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM replaced a JOIN words b ON b.word = a.head || a.tail
+  UNION
+  SELECT b.word, a.word, a.n FROM replaced a JOIN words b ON b.word = a.head || a.tail
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS at FROM words
+  UNION ALL
+  SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed last ON last.word = c.at AND last.form IS NULL
+"""
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": OP5_SQL, "op6_content_sort": OP6_SQL, "op8_warc_revisits": OP8_SQL}
+    return {"op5_pareto_mix": OP5_SQL, "op6_content_sort": OP6_SQL, "op8_warc_revisits": OP8_SQL, "op11_symmetric_delete": OP11_SQL, "op12_segment_topk": OP12_SQL}
