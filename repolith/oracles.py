@@ -257,6 +257,18 @@ ORACLES: dict[str, str] = {
         g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
         p AS (SELECT a.conv_id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS k FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
         SELECT conv_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE k / (len(a) + len(b) - k) END, 6) AS similarity, len(a) AS n_a, len(b) AS n_b FROM p""",
+    "distinctiveness": r"""
+        WITH d AS (SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source) AS own FROM documents),
+        m AS (SELECT 'f' || source AS grp, doc_id, true AS asks FROM d WHERE own > 1
+              UNION ALL SELECT 'd' || lang, doc_id, own = 1 FROM d WHERE lang IN (SELECT lang FROM d WHERE own = 1)),
+        t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM documents),
+        g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
+        e AS (SELECT grp, doc_id, asks, len(s) AS n, unnest(s) AS gram FROM m JOIN g USING (doc_id)),
+        k AS (SELECT a.grp, a.doc_id, count(*) / (a.n + b.n - count(*)) AS similarity FROM e a JOIN e b ON a.grp = b.grp AND a.gram = b.gram AND a.doc_id <> b.doc_id WHERE a.asks GROUP BY a.grp, a.doc_id, b.doc_id, a.n, b.n),
+        b AS (SELECT doc_id, max(similarity) AS best FROM k GROUP BY doc_id),
+        c AS (SELECT m.doc_id, CASE WHEN count(*) OVER (PARTITION BY m.grp) > 1 THEN CASE WHEN coalesce(best, 0) < 0.08 THEN 0 ELSE least(best, 0.55) END END AS closest, m.asks FROM m LEFT JOIN b USING (doc_id))
+        SELECT doc_id, round(closest, 6) AS closest, round(CASE WHEN closest IS NULL OR len(s) < 8 THEN 0.5 ELSE 1 - least(greatest((closest - 0.08) / (0.55::DOUBLE - 0.08::DOUBLE), 0), 1) END, 6) AS distinctiveness
+        FROM c JOIN g USING (doc_id) WHERE asks""",
     "vocabulary_novelty": sql("bodies", f", w AS (SELECT doc_id, {words('body')} AS b, {words('signature')} AS s FROM bodies) SELECT doc_id, round(CASE WHEN len(b) < 8 THEN 0.5 ELSE least(greatest((len(list_filter(b, lambda x: NOT list_contains(s, x))) / len(b) - 0.35) / (0.85::DOUBLE - 0.35::DOUBLE), 0), 1) END, 6) AS novelty FROM w"),
     "branch_density": sql("bodies", r""", w AS (SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE len(string_split(regexp_replace(body, '\n\z', ''), chr(10))) END AS lines, len(list_filter(regexp_split_to_array(body, '[^\p{L}\p{N}&|?]'), lambda x: x IN ('if', 'else', 'match', 'case', 'switch', 'for', 'while', 'loop', 'try', 'catch', 'except', '&&', '||', '?'))) AS hits FROM bodies)
         SELECT doc_id, lines, round(CASE WHEN lines < 5 THEN 0.5 ELSE least(greatest((hits / lines - 0.02) / (0.25::DOUBLE - 0.02::DOUBLE), 0), 1) END, 6) AS density FROM w"""),
