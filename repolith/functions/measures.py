@@ -26,16 +26,26 @@ def loc(start: Column, end: Column) -> Column:
     return F.greatest(end - start + 1, F.lit(0))
 
 
-#: Comments over any number of characters: between slashes and stars, and texts that stand alone at the start of a line.
-BLOCKS = (r"/\*{}*?\*/", r"(?m)^[ \t]*\"\"\"{}*?\"\"\"", r"(?m)^[ \t]*'''{}*?'''")
+#: Texts in quotes, which keep what they hold; over lines only where three quotes open them.
+TEXTS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
+#: A block comment within a line; and one over several, whose first line end stays, as it parts what stands before and behind.
+BLOCK = r"/\*[^\n]*?\*/|/\*[^\n]*(\n)[\s\S]*?\*/"
+#: A text that stands alone at the start of a line.
+DOCSTRING = r"^[ \t]*(?:\"\"\"[^\n]*?\"\"\"|'''[^\n]*?''')|^[ \t]*(?:\"\"\"[^\n]*(\n)[\s\S]*?\"\"\"|'''[^\n]*(\n)[\s\S]*?''')"
+#: What is matched from left to right, by how a language comments; groups are what stays of it.
+COMMENTS = {
+    "slashes": rf"(?m)({TEXTS})|//[^\n]*|{BLOCK}",
+    "hashes": rf"(?m)({TEXTS})|#[^\n]*",
+    "python": rf"(?m){DOCSTRING}|(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|{TEXTS})|#[^\n]*",
+    "any": rf"(?m){DOCSTRING}|({TEXTS})|^[ \t]*#[^\n]*|//[^\n]*|{BLOCK}",
+}
+STAYS = {"slashes": "$1$2", "hashes": "$1", "python": "$1$2$3", "any": "$1$2$3$4"}
 
 
-def ncloc(body: Column, comment: str = r"^\s*(#|//)", blocks: tuple[str, ...] = BLOCKS) -> Column:
-    """Lines that hold more than white space and comments; a block comment within a string counts as one."""
-    for block in blocks:
-        # one of several lines leaves the lines before and behind it apart
-        body = F.regexp_replace(F.regexp_replace(body, block.format(r"[^\n]"), ""), block.format(r"[\s\S]"), "\n")
-    return F.size(F.filter(F.split(body, "\n"), lambda line: ~line.rlike(r"^\s*$") & ~line.rlike(comment)))
+def ncloc(body: Column, comments: str = "any") -> Column:
+    """Lines that hold more than white space and comments; what looks like a comment within a text or a comment is none."""
+    bare = F.regexp_replace(body, COMMENTS[comments], STAYS[comments])
+    return F.size(F.filter(F.split(bare, "\n"), lambda line: ~line.rlike(r"^\s*$")))
 
 
 def days_since(ts: Column, now: Column) -> Column:

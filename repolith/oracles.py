@@ -183,6 +183,13 @@ def tally(by: str) -> str:
 
 MAIN = "SELECT path, arg_max(author, (n, first)) AS main_author, count(*) AS headcount FROM (SELECT path, author, count(*) AS n, min(line_no) AS first FROM lines GROUP BY ALL) GROUP BY path"
 
+#: What a file a part holds, by its language, depth, length and chain.
+PARSED = """
+        WITH l AS (SELECT *, ['rust', 'go', 'javascript', 'typescript', 'java', 'csharp', 'c', 'cpp', 'dart', 'kotlin', 'scala', 'swift', 'php', 'ruby', 'lua', 'julia', 'python', 'gdscript'][p_partkey % 18 + 1] AS lang,
+                          (p_size % 4)::BIGINT AS deep, (p_size % 5 + 6)::BIGINT AS long, p_partkey % 3 AS chain FROM part),
+        w AS (SELECT *, lang NOT IN ('swift', 'lua', 'julia', 'gdscript') AS logic,
+                     3 + deep + long + 2 + 2 * chain + 2 + CASE WHEN lang IN ('python', 'gdscript') THEN 0 ELSE deep + 2 END AS loc FROM l)"""
+
 ORACLES: dict[str, str] = {
     "facts_table": sql("facts", "SELECT key, kind, " + ", ".join(f"round({f}::DOUBLE, 6) AS {f}" for f in FIELDS) + " FROM facts"),
     "rule_hits_single": sql("functions", "SELECT key, loc FROM functions WHERE loc >= 200"),
@@ -257,6 +264,13 @@ ORACLES: dict[str, str] = {
         g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
         p AS (SELECT a.conv_id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS k FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
         SELECT conv_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE k / (len(a) + len(b) - k) END, 6) AS similarity, len(a) AS n_a, len(b) AS n_b FROM p""",
+    "parsed_functions": PARSED + """
+        SELECT 'src/' || p_partkey AS path, lang, 'f' || p_partkey AS name, 4::BIGINT AS start_line, 3 + loc AS end_line, loc, loc - 1 AS ncloc,
+               deep * (deep + 1) // 2 + CASE WHEN logic THEN deep ELSE 0 END + 1 + chain AS cognitive, (long + 2 + CASE WHEN chain > 0 THEN 1 ELSE 0 END)::INT AS calls, 'do_1' AS first_call FROM w""",
+    "parsed_clones": PARSED + """,
+        g AS (SELECT 'src/' || p_partkey AS key, CASE WHEN lang IN ('c', 'cpp') THEN 'c' WHEN lang IN ('javascript', 'typescript') THEN 'ts' ELSE lang END AS family, deep, long, chain FROM w),
+        n AS (SELECT *, count(*) OVER s AS clone_count, min(key) OVER s AS first FROM g WINDOW s AS (PARTITION BY family, deep, long, chain))
+        SELECT key, dense_rank() OVER (ORDER BY first) AS clone_group, clone_count FROM n WHERE clone_count > 1""",
     "distinctiveness": r"""
         WITH d AS (SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source) AS own FROM documents),
         m AS (SELECT 'f' || source AS grp, doc_id, true AS asks FROM d WHERE own > 1
@@ -328,7 +342,7 @@ ORACLES: dict[str, str] = {
     "contents_once": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "line_spans": "SELECT l_orderkey, l_linenumber, greatest(l_suppkey % 9 - l_linenumber + 1, 0)::BIGINT AS loc FROM lineitem",
     # the text between the comments is counted line by line, the rest is known
-    "bare_lines": r"SELECT doc_id, (len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[ \t\r\f\v]*$') AND NOT regexp_matches(l, '^[ \t\r\f\v]*(#|//)'))) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS ncloc FROM documents",
+    "bare_lines": r"SELECT doc_id, (len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[ \t\r\f\v]*$') AND NOT regexp_matches(l, '^[ \t\r\f\v]*(#|//)'))) + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END)::BIGINT AS ncloc FROM documents",
     "age_ramps": sql("", "SELECT o_orderkey, round(CASE WHEN span < 1 THEN 1 ELSE least(greatest(1 - log10(d + 1) / log10(span + 1), 0), 1) END, 6) AS ramp FROM (SELECT o_orderkey, greatest(epoch(NOW) - epoch(o_orderdate::TIMESTAMP), 0) / 86400.0::DOUBLE AS d, (o_orderkey % 4000)::DOUBLE AS span FROM orders)"),
     "share_ramps": "SELECT s_suppkey, round(CASE WHEN s_suppkey % 40 >= 25 THEN 1 ELSE pow((s_suppkey % 40) / 25.0::DOUBLE, 0.7) END, 6) AS ramp FROM supplier",
     "spelled_numbers": "SELECT p_partkey, CASE WHEN p_partkey * 7 >= 3650 THEN round(p_partkey * 7 / 365.0::DOUBLE)::BIGINT::VARCHAR ELSE printf('%.1f', p_partkey * 7 / 365.0::DOUBLE) END AS years, format('{:,}', p_partkey::BIGINT * 1000) || ['', '.25', '.50', '.75'][p_partkey % 4 + 1] AS number FROM part",

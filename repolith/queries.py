@@ -12,6 +12,7 @@ from .operators import findings, graph, history, readings, replay, rollup, simil
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
+from .sources import walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,6 +445,20 @@ def incompressibility(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bodies(spark, sf).select("doc_id", text.incompressibility(F.col("body")).alias("incompressible")), "incompressible")
 
 
+@query
+def parsed_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the parsers read of a file a part, in eighteen languages."""
+    f = walk.functions(t.source_files(spark, sf))
+    return f.select("path", "lang", "name", "start_line", "end_line", "loc", "ncloc", "cognitive", F.size("calls").alias("calls"), F.element_at("calls", 1)["name"].alias("first_call"))
+
+
+@query
+def parsed_clones(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions of one shape, whatever their names and texts; languages of a family share shapes."""
+    f = walk.functions(t.source_files(spark, sf))
+    return graph.clone_groups(f.select(F.col("path").alias("key"), graph.family(F.col("lang")).alias("family"), "shape"))
+
+
 def distinct_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """How unlike its peers each document is: its source is its file, its language the directory."""
     d = t.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("path"), F.col("lang").alias("dir"), F.col("text").alias("body"))
@@ -462,11 +477,222 @@ def proxy_surprise(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(b.select("doc_id", score.alias("surprise")), "surprise")
 
 
+@query
+def body_pins(spark: SparkSession, sf: str) -> DataFrame:
+    return t.table(spark, sf, "documents").select("doc_id", grades.body_pin(F.col("text")).alias("pin"))
+
+
+@query
+def readings_tally(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.tally(t.readings(spark, sf))
+
+
+@query
+def tally_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.tally(t.readings(spark, sf), "model")
+
+
+@query
+def tally_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.tally_sets(t.readings(spark, sf))
+
+
+@query
+def reading_pack_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    r = t.readings(spark, sf)
+    packed = grades.pack(F.col("predicted"), F.col("documented"), F.col("legible"), F.col("trap"), F.col("derivable"))
+    p = r.select("reading_id", packed.alias("packed"))
+    return p.select("reading_id", "packed", *[c.alias(n) for n, c in grades.unpack(F.col("packed")).items()])
+
+
+@query
+def effective_grades(spark: SparkSession, sf: str) -> DataFrame:
+    r = t.readings(spark, sf).withColumn("given", F.when(F.col("reading_id") % 3 != 0, F.col("predicted")))
+    p = grades.effective_predicted(F.col("given"), F.col("surprised"))
+    d = grades.effective_documented(F.col("documented"), F.col("derivable"))
+    return r.select("reading_id", grades.surprise(p).alias("surprise"), grades.documented(d).alias("doc"), grades.doc_gap(d).alias("gap"))
+
+
+@query
+def stale_readings(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.table(spark, sf, "documents").join(t.table(spark, sf, "labels"), "doc_id")
+    current = F.md5("text")
+    recorded = F.when(F.col("doc_id") % 5 != 0, current).otherwise(F.when(F.col("doc_id") % 10 == 0, "").otherwise("wrong"))
+    return d.select("doc_id", grades.is_stale(recorded, current, F.octet_length("text"), F.col("doc_id") % 2 == 0).alias("stale"))
+
+
+def subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return t.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "n_chars")
+
+
+@query
+def verify_outstanding(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.outstanding(subjects(spark, sf), t.readings(spark, sf))
+
+
+@query
+def verify_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.verify(subjects(spark, sf), t.readings(spark, sf))
+
+
+@query
+def queue_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    r = t.readings(spark, sf).select(F.col("reading_id").alias("id"), "stale")
+    s = subjects(spark, sf).join(r, "id", "left").where("stale is null or stale")
+    p = readings.queue_priority((F.col("n_chars") % 97) / 97.0, F.coalesce("stale", F.lit(False)), F.lit(False), F.col("id") % 7 == 0)
+    return readings.round_robin(s.select("id", "path", F.round(p, 6).alias("priority")), 60)
+
+
+@query
+def reading_curve(spark: SparkSession, sf: str) -> DataFrame:
+    s = t.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("pos"), F.col("n_chars").alias("lines"))
+    return readings.reading_curve(s).select("batch", "pos", "cumulative")
+
+
+@query
+def peer_window(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.peer_windows(subjects(spark, sf).withColumn("pos", F.col("n_chars")))
+
+
+@query
+def search_rank(spark: SparkSession, sf: str) -> DataFrame:
+    f = t.functions(spark, sf).select(F.lit("func").alias("kind"), "name", "path", F.col("start_line").alias("line"), "loc")
+    s = t.files(spark, sf).select(F.lit("file").alias("kind"), F.substring_index("path", "/", -1).alias("name"), "path", F.lit(0).cast("long").alias("line"), F.lit(1).cast("long").alias("loc"))
+    return readings.search(f.unionByName(s), " Supplier#000000001 ", 40).select("kind", "name", "path", "line", "loc", "tier")
+
+
+@query
+def kind_classification(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_extract("url", r"://([^?#]*)", 1), r"\.html$", F.lit(".h"))
+    p = t.table(spark, sf, "pages").select("page_id", path.alias("path"), F.when(F.col("page_id") % 9 == 0, "// Code generated by x. DO NOT EDIT").otherwise(F.substring("html", 1, 400)).alias("head"))
+    kind = classify.code_kind(F.col("path"), F.col("head"), ("m.*/en",), ("/www.*",))
+    return p.select("page_id", kind["kind"].alias("kind"), kind["how"].alias("how"))
+
+
+@query
+def exclusion_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    dirs = F.element_at(F.array(*map(F.lit, ("src", "vendor", "tests", "generated", "lib"))), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.concat(dirs, F.lit("/"), F.col("page_id"), F.element_at(F.array(*map(F.lit, (".py", "_test.go", ".pb.cc"))), (F.col("page_id") % 3 + 1).cast("int")))
+    p = t.table(spark, sf, "pages").select(path.alias("path"), (F.col("page_id") % 13 == 0).alias("x"))
+    return p.groupBy(classify.exclusion(F.col("path"), F.col("x"), F.lit(None).cast("string")).alias("reason")).agg(F.count("*").alias("files"))
+
+
+@query
+def category_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.category_cap(t.table(spark, sf, "documents"), "source", "n_chars", 8)
+
+
+@query
+def legend_order(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.category_cap(t.table(spark, sf, "documents"), "lang", "n_chars", 3)
+
+
+@query
+def top_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    f = t.functions(spark, sf)
+    return f.groupBy(paths.top_dir(F.col("path")).alias("dir")).agg(F.count("*").alias("functions"), F.sum(F.coalesce("is_test", F.lit(False)).cast("long")).alias("tests")).orderBy(F.desc("functions"), "dir").limit(15)
+
+
+@query
+def group_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    top = findings.ranked(findings.hits(plain_facts(spark, sf), [parse(SINGLE)])).select("path", "key").collect()
+    rows = findings.group_by_place([tuple(r) for r in top])
+    return spark.createDataFrame([(place, len(keys)) for place, keys in rows], "place string, findings long")
+
+
+@query
+def scan_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    f, c = t.functions(spark, sf), t.commits(spark, sf)
+    one = f.agg(F.countDistinct("path").alias("files"), F.count("*").alias("functions"), F.sum("loc").alias("lines"))
+    return one.crossJoin(c.agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"), F.round(measures.days_since(F.min("ts"), t.now()), 6).alias("age")))
+
+
+@query
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from .streaming.windows import event_windows
+
+    return rounded(event_windows(t.table(spark, sf, "events")), "value")
+
+
+@query
+def sunburst_arcs(spark: SparkSession, sf: str) -> DataFrame:
+    f = t.functions(spark, sf).groupBy("path").agg(F.sum("loc").alias("weight"))
+    nodes = f.select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path"), "weight").groupBy("path").agg(F.sum("weight").alias("weight"))
+    return rounded(views.sunburst(nodes), "start", "end")
+
+
+@query
+def rim_slices(spark: SparkSession, sf: str) -> DataFrame:
+    s = t.files(spark, sf).select(F.col("file_id").alias("at"), (F.col("file_id") * 37 % 11).cast("double").alias("width"), "path")
+    return views.merge_slices(s.withColumnRenamed("path", "label"), 6.0)
+
+
+@query
+def crowd_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return views.fold_rest(t.functions(spark, sf), 4.0)
+
+
+@query
+def log_page(spark: SparkSession, sf: str) -> DataFrame:
+    return views.log_page(t.commits(spark, sf), t.commit_files(spark, sf), "ASIA", 20, 15)
+
+
+@query
+def hottest_functions(spark: SparkSession, sf: str) -> DataFrame:
+    return views.hottest(sized(spark, sf).select("key", "surprise", "loc"), 25)
+
+
+@query
+def scope_languages(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.table(spark, sf, "documents").select(F.concat_ws("/", F.concat(F.lit("d"), F.col("doc_id") % 3), "source").alias("path"), "lang")
+    return views.languages_of(d, "d1")
+
+
+@query
+def rule_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    top = findings.ranked(findings.hits(facts(spark, sf), catalogue()), 10)
+    return views.first_mentions(top.select("rule", (F.col("rank") * 100 + F.length("rule")).alias("place")))
+
+
+@query
+def cache_prune(spark: SparkSession, sf: str) -> DataFrame:
+    live = t.files(spark, sf).where(F.col("file_id") % 3 != 0)
+    return views.keep_live(t.commit_files(spark, sf), live).groupBy("path").agg(F.count("*").alias("entries"))
+
+
+@query
+def retested_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    n = t.call_nodes(spark, sf).withColumn("how", F.when(F.col("node") % 4 == 0, "contract").when(F.col("is_test").isNotNull(), "convention"))
+    said = n.where("node % 3 = 0").select("node", (F.col("node") % 2 == 0).alias("is_test"))
+    return views.retest(n.drop("dir"), said)
+
+
+@query
+def contents_once(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    known = d.where("path % 2 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
+    new, _ = views.parse_once(d, known)
+    return new.select("hash")
+
+
+def nth(k: Column, *options: str | Column) -> Column:
+    """One of the options by the remainder of an integer."""
+    return F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in options]), (k % len(options) + 1).cast("int"))
+
+
+@query
+def line_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans from ``l_linenumber`` to a remainder of the supplier; spans that end before they begin are empty."""
+    end = F.col("l_suppkey") % 9
+    return t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", measures.loc(F.col("l_linenumber"), end).cast("long").alias("loc"))
+
+
 @query
 def bare_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies between a block comment and a docstring."""
+    """Bodies between comments of each kind: a line comment and a text that only look as if they opened a block, blocks of one line and of several, and a docstring."""
     odd = F.col("doc_id") % 2 == 1
-    body = F.concat(F.when(odd, "/* one\ntwo */\n").otherwise("/* one */ x\n"), F.col("text"), F.when(odd, '\n  """a\nb"""\n# c').otherwise("\n// d"))
+    looks = F.lit('// see src/*.c\none();\nx = "/*"; // and "*/\ntwo(); /* a\nb */\n')
+    body = F.concat(looks, F.when(odd, "/* one\ntwo */\n").otherwise("/* one */ x\n"), F.col("text"), F.when(odd, '\n  """a\nb"""\n# c').otherwise("\n// d"))
     return t.table(spark, sf, "documents").select("doc_id", measures.ncloc(body).cast("long").alias("ncloc"))
 
 

@@ -116,3 +116,64 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t == 1).alias("trap"), (d % 4 == 0).alias("derivable"), (q == 0).alias("surprised"),
         F.concat(F.lit("m"), (d % 3).cast("string")).alias("model"), (d % 10).alias("position"), (d % 5 == 0).alias("stale"),
     )
+
+
+#: How a language writes what ``source_files`` needs: comment sign, head of a function, string, fork, continuation,
+#: other arm, call, end of a block; None where indentation ends it.
+_C = ("//", '  x = "}} // {{ end";', "if (a && b) {", "} else if (c) {", "} else {", "(x);", "}")
+WRITTEN = {
+    "rust": ("//", "pub fn {}(a: i32) -> i32 {{", '  let x = "}} // {{ end";', "if a && b {", "} else if c {", "} else {", "(x);", "}"),
+    "go": ("//", "func {}(a int) int {{", '  x := "}} // {{ end"', "if a && b {", "} else if c {", "} else {", "(x)", "}"),
+    "javascript": (_C[0], "function {}(a) {{", *_C[1:]),
+    "typescript": (_C[0], "function {}(a) {{", *_C[1:]),
+    "java": (_C[0], "static int {}(int a) {{", *_C[1:]),
+    "csharp": (_C[0], "static int {}(int a) {{", *_C[1:]),
+    "c": (_C[0], "static int {}(int a) {{", *_C[1:]),
+    "cpp": (_C[0], "static int {}(int a) {{", *_C[1:]),
+    "dart": (_C[0], "int {}(int a) {{", *_C[1:]),
+    "kotlin": ("//", "fun {}(a: Int): Int {{", '  val x = "}} // {{ end"', "if (a && b) {", "} else if (c) {", "} else {", "(x)", "}"),
+    "scala": ("//", "def {}(a: Int): Int = {{", '  val x = "}} // {{ end"', "if (a && b) {", "} else if (c) {", "} else {", "(x)", "}"),
+    "swift": ("//", "func {}(a: Int) -> Int {{", '  let x = "}} // {{ end"', "if a && b {", "} else if c {", "} else {", "(x)", "}"),
+    "php": ("//", "function {}($a) {{", '  $x = "}} // {{ end";', "if ($a && $b) {", "} elseif ($c) {", "} else {", "($x);", "}"),
+    "ruby": ("#", "def {}(a)", '  x = "end # do"', "if a && b", "elsif c", "else", "(x)", "end"),
+    "lua": ("--", "function {}(a)", '  x = "end -- do"', "if a and b then", "elseif c then", "else", "(x)", "end"),
+    "julia": ("#", "function {}(a)", '  x = "end # do"', "if a && b", "elseif c", "else", "(x)", "end"),
+    "python": ("#", "def {}(a):", '  x = "def # f():"', "if a and b:", "elif c:", "else:", "(x)", None),
+    "gdscript": ("#", "func {}(a):", '  x = "func # f():"', "if a and b:", "elif c:", "else:", "(x)", None),
+}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, lang, text``: a source file a part, in one of the languages; its size says how deep and long it is.
+
+    A comment with braces and closing words, then a function: a string with the same, a comment, nested forks round
+    its calls, and a chain of questions.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    deep, long, chain = F.col("p_size") % 4, F.col("p_size") % 5 + 6, F.col("p_partkey") % 3
+    none = F.array().cast("array<string>")
+    times = lambda n, line: F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), line)).otherwise(none)
+    pad = lambda n: F.repeat(F.lit("  "), n.cast("int"))
+    text = F.lit(None).cast("string")
+
+    def written(sign: str, head: str, said: str, fork: str, also: str, other: str, call: str, end: str | None) -> F.Column:
+        block = ("/* a { block", "   that ends } */") if sign == "//" else (f"{sign} a {{ block", f"{sign} end that ends }}")
+        first, last = head.format("\0").split("\0")
+        asked = fork.replace(" && b", "").replace(" && $b", "").replace(" and b", "")
+        said = said.replace("{{", "{").replace("}}", "}")
+        top = F.array(F.concat(F.lit(f"{sign} }} end {{ "), "p_name"), *map(F.lit, block), F.concat(F.lit(f"{first}f"), "p_partkey", F.lit(last)), F.lit(said), F.lit(f"  {sign} a note }} {{ end"))
+        parts = [
+            top,
+            times(deep, lambda i: F.concat(pad(i), F.lit(fork))),
+            times(long, lambda i: F.concat(pad(deep + 1), F.lit("do_"), i.cast("string"), F.lit(call))),
+            times(deep, lambda i: F.concat(pad(deep + 1 - i), F.lit(end))) if end else none,
+            F.array(F.lit(f"  {asked}"), F.lit(f"    one{call}")),
+            times(chain, lambda i: F.lit(f"  {also}\n    two{call}")),
+            F.array(F.lit(f"  {other}"), F.lit(f"    three{call}"), *([F.lit(f"  {end}"), F.lit(end)] if end else [])),
+        ]
+        return F.concat_ws("\n", *parts)
+
+    for k, how in enumerate(WRITTEN.values()):
+        text = F.when(F.col("p_partkey") % len(WRITTEN) == k, written(*how)).otherwise(text)
+    lang = F.array(*map(F.lit, WRITTEN))[(F.col("p_partkey") % len(WRITTEN)).cast("int")]
+    return p.select(F.concat(F.lit("src/"), "p_partkey").alias("path"), lang.alias("lang"), text.alias("text"))

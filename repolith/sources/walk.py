@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import ast
+import keyword
 import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import LANGUAGES, extension, language
+from . import lexer
 
 MOST_BYTES, MOST_LINE, MOST_DOC, MOST_CALLS = 1_000_000, 2_000, 600, 2_048
 SKIPPED_DIRS = (".git", "node_modules", "vendor", "target", "dist", "build")
@@ -41,30 +44,32 @@ def unscanned(files: DataFrame) -> DataFrame:
     return by_ext.unionByName(by_why).select("by", "value", "files")
 
 
+KEYWORDS = frozenset(keyword.kwlist)
+
 #: Nodes that fork the flow; nesting adds to what they cost.
-FORKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match)
+FORKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)
 
 
 def cognitive(body: list[ast.stmt]) -> int:
-    """Each fork costs one and one for every fork around it, an elif or else one, each run of one logical operator one."""
+    """Each fork costs one and one for every fork around it, an elif one, else nothing, each run of one logical operator one."""
 
     def cost(node: ast.AST, depth: int, parent_op: type | None = None) -> int:
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            return 0
         if isinstance(node, ast.If):
             return if_cost(node, depth, 1 + depth)
         if isinstance(node, ast.BoolOp):
             op = type(node.op)
             return int(op is not parent_op) + sum(cost(c, depth, op) for c in node.values)
+        if isinstance(node, ast.comprehension):
+            return cost(node.target, depth) + cost(node.iter, depth) + sum(1 + depth + cost(c, depth + 1) for c in node.ifs)
         own = 1 + depth if isinstance(node, FORKS) else 0
         inner = depth + 1 if isinstance(node, FORKS) else depth
         return own + sum(cost(c, inner) for c in ast.iter_child_nodes(node))
 
     def if_cost(node: ast.If, depth: int, own: int) -> int:
-        total = own + cost(node.test, depth) + sum(cost(c, depth + 1) for c in node.body)
-        if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
+        total = own + cost(node.test, depth + 1) + sum(cost(c, depth + 1) for c in node.body)
+        if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and node.orelse[0].col_offset == node.col_offset:
             return total + if_cost(node.orelse[0], depth, 1)
-        return total + (1 if node.orelse else 0) + sum(cost(c, depth + 1) for c in node.orelse)
+        return total + sum(cost(c, depth + 1) for c in node.orelse)
 
     return sum(cost(n, 0) for n in body)
 
@@ -76,24 +81,27 @@ def python_functions(text: str) -> Iterator[dict]:
     except (SyntaxError, ValueError):
         return
     lines = text.split("\n")
+    read = lexer.tokens(text, "python")
 
     def visit(node: ast.AST, owner: str | None) -> Iterator[dict]:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
                 start, end = child.lineno, child.end_lineno or child.lineno
                 body = "\n".join(lines[start - 1 : end])
-                calls = []
-                for c in ast.walk(child):
-                    if isinstance(c, ast.Call) and len(calls) < MOST_CALLS:
-                        f = c.func
-                        if isinstance(f, ast.Name):
-                            calls.append({"name": f.id, "via": "free", "qualifier": None})
-                        elif isinstance(f, ast.Attribute):
-                            calls.append({"name": f.attr, "via": "dot", "qualifier": f.value.id if isinstance(f.value, ast.Name) else None})
+                called = {}
+                for c in sorted((c for c in ast.walk(child) if isinstance(c, ast.Call)), key=lambda c: (c.func.end_lineno, c.func.end_col_offset)):
+                    f = c.func
+                    if isinstance(f, ast.Name):
+                        called[f.id, "free", None] = None
+                    elif isinstance(f, ast.Attribute):
+                        called[f.attr, "dot", f.value.id if isinstance(f.value, ast.Name) else None] = None
+                calls = [{"name": n, "via": v, "qualifier": q} for n, v, q in list(called)[:MOST_CALLS]]
                 local = [n.name for n in ast.walk(child) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n is not child]
                 doc = ast.get_docstring(child)
-                code = [x for x in lines[start - 1 : end] if x.strip() and not x.strip().startswith("#")]
-                yield {"name": child.name, "owner": owner, "signature": lines[start - 1].strip(), "body": body, "doc": doc, "start_line": start, "end_line": end, "ncloc": max(0, len(code) - (len(doc.split("\n")) if doc else 0)), "cognitive": cognitive(child.body), "calls": calls, "locals": local, "exported": not child.name.startswith("_")}
+                told = child.body[0] if doc is not None else None
+                prose = set(range(told.lineno, (told.end_lineno or told.lineno) + 1)) if told else set()
+                inside = [t for t in read if start <= t.line <= end]
+                yield {"name": child.name, "owner": owner, "signature": lines[start - 1].strip(), "body": body, "doc": doc, "start_line": start, "end_line": end, "ncloc": len(lexer.code_lines(inside) - prose), "cognitive": cognitive(child.body), "calls": calls, "locals": local, "exported": not child.name.startswith("_"), "shape": lexer.shape([t for t in inside if t.line not in prose and t.line > start], KEYWORDS)}
                 yield from visit(child, child.name)
             elif isinstance(child, ast.ClassDef):
                 yield from visit(child, child.name)
@@ -103,52 +111,42 @@ def python_functions(text: str) -> Iterator[dict]:
     yield from visit(tree, None)
 
 
-BRACE_LANGUAGES = frozenset("c cpp java kotlin scala go rust javascript typescript tsx csharp swift dart php objc".split())
-HEAD = re.compile(r"(?:^|[\s*&])([A-Za-z_]\w*)\s*\(([^;{}]*)\)[^;{}=]*$")
-NO_NAMES = frozenset("if for while switch catch return sizeof match else do try".split())
-
-
-def brace_functions(text: str) -> Iterator[dict]:
-    """Functions of a language with braces, by its brackets; complexity and calls are not claimed."""
-    clean = re.sub(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-    lines, stack, last = text.split("\n"), [], 0
-    for m in re.finditer(r"[{};]", clean):
-        if m[0] == "{":
-            head = clean[last : m.start()]
-            h = HEAD.search(head)
-            name = h[1] if h and h[1] not in NO_NAMES else None
-            stack.append((name, clean.count("\n", 0, last + (h.start(1) if h else 0)) + 1, clean.count("\n", 0, m.start()) + 1))
-        elif m[0] == "}" and stack:
-            name, start, _ = stack.pop()
-            if name:
-                end = clean.count("\n", 0, m.start()) + 1
-                body = lines[start - 1 : end]
-                yield {"name": name, "owner": None, "signature": lines[start - 1].strip(), "body": "\n".join(body), "doc": None, "start_line": start, "end_line": end, "ncloc": sum(1 for x in clean.split("\n")[start - 1 : end] if x.strip()), "cognitive": None, "calls": None, "locals": [], "exported": None}
-        last = m.end()
+FUNCTIONS = "path string, lang string, name string, owner string, signature string, body string, doc string, start_line long, end_line long, loc long, ncloc long, cognitive long, calls array<struct<name:string,via:string,qualifier:string>>, locals array<string>, exported boolean, shape string"
+CALLS = pa.list_(pa.struct([("name", pa.string()), ("via", pa.string()), ("qualifier", pa.string())]))
+#: Columns that are not texts.
+TYPES = dict.fromkeys(("start_line", "end_line", "loc", "ncloc", "cognitive"), pa.int64()) | {"calls": CALLS, "locals": pa.list_(pa.string()), "exported": pa.bool_()}
+#: Functions of a record batch, so that a file of very many does not make one batch.
+BATCH_FUNCTIONS = 512
 
 
-FUNCTIONS = "path string, lang string, name string, owner string, signature string, body string, doc string, start_line long, end_line long, loc long, ncloc long, cognitive long, calls array<struct<name:string,via:string,qualifier:string>>, locals array<string>, exported boolean"
+def functions_of(lang: str | None, text: str) -> list[dict]:
+    """The functions of a file in source order; none for a language without a table."""
+    found = python_functions(text) if lang == "python" else lexer.functions(text, lang) if lang in lexer.SYNTAX else ()
+    return sorted(found, key=lambda f: (f["start_line"], f["name"]))
 
 
 def functions(files: DataFrame) -> DataFrame:
     """``path, lang, text`` -> a row a function. Files are parsed alone, so a large tree parses in parallel.
 
-    Python is parsed exactly; languages with braces by their brackets, where complexity and calls stay null:
-    absent, not zero. Other languages give no rows.
+    Python is parsed by its grammar, the languages of ``lexer.SYNTAX`` by their tables; others give no rows.
+    Null texts give none; a file that does not parse gives what could be read of it.
     """
+    names = [c.split(" ")[0] for c in re.split(r", (?=\w+ \w)", FUNCTIONS)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in re.split(r", (?=\w+ \w)", FUNCTIONS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, lang, text in zip(batch["path"], batch["lang"], batch["text"], strict=True):
-                found = python_functions(text or "") if lang == "python" else brace_functions(text or "") if lang in BRACE_LANGUAGES else ()
-                for f in sorted(found, key=lambda f: (f["start_line"], f["name"])):
-                    rows.append({"path": path, "lang": lang, "loc": max(0, f["end_line"] - f["start_line"] + 1), **f})
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in ("start_line", "end_line", "loc", "ncloc", "cognitive")})
-
-    return files.where("text is not null").select("path", "lang", "text").mapInPandas(run, FUNCTIONS)
+            rows: list[dict] = []
+            for path, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += ({"path": path, "lang": lang, "loc": max(0, f["end_line"] - f["start_line"] + 1), **f} for f in functions_of(lang, text))
+                if len(rows) >= BATCH_FUNCTIONS:
+                    yield told(rows)
+                    rows = []
+            yield told(rows)
+
+    def told(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], TYPES.get(n, pa.string())) for n in names], names)
+
+    return files.where("text is not null").select("path", "lang", "text").mapInArrow(run, FUNCTIONS)
 
 
 LICENCE = re.compile(r"licen[sc]e|copyright|spdx|all rights reserved", re.I)
