@@ -190,7 +190,42 @@ PARSED = """
         w AS (SELECT *, lang NOT IN ('swift', 'lua', 'julia', 'gdscript') AS logic,
                      3 + deep + long + 2 + 2 * chain + 2 + CASE WHEN lang IN ('python', 'gdscript') THEN 0 ELSE deep + 2 END AS loc FROM l)"""
 
+#: What happens to a file a supplier, and the lives of its names.
+PATHS = """
+        WITH x AS (SELECT l_suppkey AS file, l_orderkey AS idx, max((l_linenumber, l_partkey, l_extendedprice, l_quantity, l_returnflag)) AS m FROM lineitem GROUP BY ALL),
+        y AS (SELECT file, idx, m[4] AS qty, m[5] AS flag, m[4] >= 47 AS gone FROM x),
+        z AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY file ORDER BY idx), true) AS fresh FROM y),
+        o AS (SELECT *, CASE WHEN gone AND fresh THEN 'add' WHEN gone THEN 'delete' WHEN fresh THEN 'add' WHEN flag = 'R' THEN 'rename' ELSE 'modify' END AS op FROM z),
+        n AS (SELECT *, sum(CASE WHEN op = 'rename' THEN 1 ELSE 0 END) OVER w AS n, lag(op) OVER w AS was FROM o WINDOW w AS (PARTITION BY file ORDER BY idx)),
+        s AS (SELECT *, 'f' || file || '~' || n::BIGINT AS path, op <> 'delete' AND (op = 'rename' OR was IS NULL OR was = 'delete') AS starts FROM n),
+        l AS (SELECT *, sum(CASE WHEN starts AND op <> 'rename' THEN 1 ELSE 0 END) OVER w AS chain, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER w AS life, min(CASE WHEN op IN ('rename', 'delete') THEN idx END) OVER (PARTITION BY file ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ends FROM s WINDOW w AS (PARTITION BY file ORDER BY idx)),
+        f AS (SELECT file, chain, life, path, idx AS born, ends AS died, first_value(path) OVER c AS origin_path, first_value(idx) OVER c AS origin_born, (row_number() OVER c - 1)::BIGINT AS renames FROM l WHERE starts WINDOW c AS (PARTITION BY file, chain ORDER BY idx)),
+        lives AS (SELECT path, born, died, origin_path, origin_born, renames FROM f UNION ALL
+                  SELECT path || '~c' || idx, idx, NULL, path || '~c' || idx, idx, 0 FROM s WHERE qty <= 2 AND op <> 'delete')"""
+#: The commits' parents, and what the banked heads and the last commit reach.
+ANCESTRY = """
+        WITH RECURSIVE p AS (
+          SELECT sha, parent FROM (SELECT o_orderkey AS sha, lag(o_orderkey) OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL
+          UNION ALL SELECT sha, parent FROM (SELECT o_orderkey AS sha, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS parent FROM orders) WHERE sha % 100 = 0 AND parent IS NOT NULL),
+        banked AS (SELECT max(o_orderkey) AS head FROM orders WHERE o_orderdate < '2000-01-01' GROUP BY o_orderpriority UNION ALL SELECT -7),
+        top AS (SELECT max(o_orderkey) AS top FROM orders),
+        reach AS (SELECT head, head AS sha FROM banked WHERE head > 0 UNION SELECT top, top FROM top UNION SELECT r.head, p.parent FROM reach r JOIN p ON p.sha = r.sha)"""
+
 ORACLES: dict[str, str] = {
+    "path_lives": PATHS + " SELECT * FROM lives",
+    "path_lives_in_halves": PATHS + " SELECT path, born, origin_path, origin_born, renames FROM lives WHERE died IS NULL",
+    "history_over_renames": PATHS + """,
+        t AS (SELECT l.file, l.chain, l.idx FROM l WHERE op <> 'delete'),
+        k AS (SELECT file, chain, count(*) AS commits, min(idx) AS first_idx, max(idx) AS last_idx FROM t GROUP BY ALL)
+        SELECT f.path, commits, first_idx, last_idx, renames FROM f JOIN k USING (file, chain) WHERE died IS NULL
+        UNION ALL SELECT path, 1, born, born, 0 FROM lives WHERE path LIKE '%~c%'""",
+    "history_carried": ANCESTRY + """,
+        mine AS (SELECT sha FROM reach, top WHERE head = top), had AS (SELECT head, count(*) AS n, count(*) FILTER (WHERE sha IN (SELECT sha FROM mine)) AS shared FROM reach GROUP BY head)
+        SELECT b.head, CASE WHEN b.head = top THEN 'same' WHEN b.head IN (SELECT sha FROM mine) THEN 'grown' ELSE 'rewritten' END AS state,
+               (SELECT count(*) FROM mine) - CASE WHEN b.head = top THEN (SELECT count(*) FROM mine) WHEN b.head IN (SELECT sha FROM mine) THEN n ELSE 0 END AS ahead
+        FROM banked b CROSS JOIN top LEFT JOIN had USING (head)""",
+    "commits_ahead": ANCESTRY + """
+        SELECT sha FROM reach, top WHERE head = top AND sha NOT IN (SELECT sha FROM reach WHERE head = (SELECT min(head) FROM banked WHERE head > 0))""",
     "facts_table": sql("facts", "SELECT key, kind, " + ", ".join(f"round({f}::DOUBLE, 6) AS {f}" for f in FIELDS) + " FROM facts"),
     "rule_hits_single": sql("functions", "SELECT key, loc FROM functions WHERE loc >= 200"),
     "rule_hits_conjunction": sql("facts", "SELECT key, loc, illegible FROM facts WHERE kind = 'func' AND loc >= 200 AND illegible >= 0.6"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
-from .operators import findings, graph, history, readings, replay, rollup, similarity, views
+from .operators import findings, graph, history, lineage, readings, replay, rollup, similarity, views
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
@@ -839,3 +839,45 @@ def common_dirs(spark: SparkSession, sf: str) -> DataFrame:
 def replay_rollup(spark: SparkSession, sf: str) -> DataFrame:
     sizes = t.functions(spark, sf).groupBy("path").agg(F.sum("loc").alias("loc"), F.count("*").alias("funcs"))
     return views.replay_rollup(sizes.join(t.commit_files(spark, sf).groupBy("path").agg(F.count("*").alias("commits")), "path"))
+
+
+@query
+def path_lives(spark: SparkSession, sf: str) -> DataFrame:
+    """When each path lived, and what it was called first."""
+    return lineage.lives(t.path_changes(spark, sf))
+
+
+@query
+def path_lives_in_halves(spark: SparkSession, sf: str) -> DataFrame:
+    """The living paths, from a stored state and the changes behind it."""
+    changes = t.path_changes(spark, sf)
+    stored = lineage.living(lineage.lives(changes.where(F.col("idx") < AS_OF)))
+    return lineage.living(lineage.lives(changes.where(F.col("idx") >= AS_OF), stored)).drop("died")
+
+
+@query
+def history_over_renames(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits of every living path, those under its earlier names included."""
+    changes = t.path_changes(spark, sf)
+    return lineage.history_of_living(changes.select("path", "idx").distinct(), lineage.lives(changes))
+
+
+def banked_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """The last order of each priority before 2000, and a commit that no order has."""
+    o = t.table(spark, sf, "orders").where("o_orderdate < '2000-01-01'").groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("head"))
+    return o.select("head").unionByName(spark.createDataFrame([(-7,)], "head long"))
+
+
+@query
+def history_carried(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a history banked at some commit can be carried on to the last order, and how far it is."""
+    head = t.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+    return lineage.carried(t.parents(spark, sf), banked_heads(spark, sf), head)
+
+
+@query
+def commits_ahead(spark: SparkSession, sf: str) -> DataFrame:
+    """The commits that a walk from the smallest banked head to the last order has to read."""
+    head = t.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+    banked = banked_heads(spark, sf).where("head > 0").agg(F.min("head")).first()[0]
+    return lineage.ahead(t.parents(spark, sf), banked, head)

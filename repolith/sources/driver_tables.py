@@ -177,3 +177,36 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.when(F.col("p_partkey") % len(WRITTEN) == k, written(*how)).otherwise(text)
     lang = F.array(*map(F.lit, WRITTEN))[(F.col("p_partkey") % len(WRITTEN)).cast("int")]
     return p.select(F.concat(F.lit("src/"), "p_partkey").alias("path"), lang.alias("lang"), text.alias("text"))
+
+
+def path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``idx, op, path, source``: one file a supplier over its orders; the last line of an order says what it does to the file.
+
+    A returned line renames the file, a large one deletes it, a small one copies it too. Names count the renames.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    last = F.max_by(F.struct("l_quantity", "l_returnflag"), F.struct("l_linenumber", "l_partkey", "l_extendedprice")).alias("x")
+    by = Window.partitionBy("file").orderBy("idx")
+    e = line.groupBy(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("idx")).agg(last)
+    e = e.withColumn("gone", F.col("x.l_quantity") >= 47)
+    fresh = F.coalesce(F.lag("gone").over(by), F.lit(True))
+    op = F.when(F.col("gone") & fresh, "add").when(F.col("gone"), "delete").when(fresh, "add").when(F.col("x.l_returnflag") == "R", "rename").otherwise("modify")
+    # a deletion of what is not there writes it instead, so it lives on
+    e = e.withColumn("fresh", fresh).withColumn("op", op)
+    named = F.sum((F.col("op") == "rename").cast("long")).over(by)
+    name = lambda n: F.concat(F.lit("f"), "file", F.lit("~"), n.cast("string"))
+    e = e.withColumn("n", named).select("*", name(F.col("n")).alias("path"), F.when(F.col("op") == "rename", name(F.col("n") - 1)).alias("source"))
+    copies = e.where("x.l_quantity <= 2 and op <> 'delete'").select("idx", F.lit("copy").alias("op"), F.concat("path", F.lit("~c"), F.col("idx").cast("string")).alias("path"), F.col("path").alias("source"))
+    return e.select("idx", "op", "path", "source").unionByName(copies)
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sha, nth, parent``: a branch a group of customers over the orders; every hundredth order merges the one before it."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), (F.col("o_custkey") % 64).alias("branch"))
+    first = o.select("sha", F.lit(0).alias("nth"), F.lag("sha").over(Window.partitionBy("branch").orderBy("sha")).alias("parent"))
+    keys = o.select("sha", F.floor(F.col("sha") / 4096).alias("run"))
+    # the order before, in runs of keys and over their ends
+    within = keys.withColumn("before", F.lag("sha").over(Window.partitionBy("run").orderBy("sha")))
+    ends = keys.groupBy("run").agg(F.max("sha").alias("last")).select((F.col("run") + 1).alias("run"), "last")
+    other = within.where("sha % 100 = 0").join(ends, "run", "left").select("sha", F.lit(1).alias("nth"), F.coalesce("before", "last").alias("parent"))
+    return first.unionByName(other.where("parent is not null"))
