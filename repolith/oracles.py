@@ -212,6 +212,23 @@ ANCESTRY = """
         reach AS (SELECT head, head AS sha FROM banked WHERE head > 0 UNION SELECT top, top FROM top UNION SELECT r.head, p.parent FROM reach r JOIN p ON p.sha = r.sha)"""
 
 ORACLES: dict[str, str] = {
+    "line_range_history": """
+        WITH RECURSIVE x AS (SELECT l_suppkey AS file, l_orderkey AS idx, max((l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+        h AS (SELECT file, idx, m[2] % 90 + 2 AS pos, (m[1] % 4)::BIGINT AS ol, (m[4] % 6)::BIGINT AS nl FROM x),
+        g AS (SELECT *, pos + nl - 1 AS last, row_number() OVER (PARTITION BY file ORDER BY idx DESC) AS k FROM h WHERE ol > 0 OR nl > 0),
+        r AS (
+          SELECT s_suppkey AS file, ask, 1::BIGINT AS k, s_suppkey % 50 + 1 + 30 * ask AS s, s_suppkey % 50 + 11 + 31 * ask AS e, NULL::BIGINT AS idx, NULL::BIGINT AS was_s, NULL::BIGINT AS was_e, NULL::BIGINT AS added, NULL::BIGINT AS removed, false AS met
+          FROM supplier, (VALUES (0), (1)) a(ask)
+          UNION ALL
+          SELECT file, ask, k + 1,
+                 CASE WHEN last < s THEN s + ol - nl WHEN nl > 0 AND pos <= s THEN pos ELSE s END,
+                 CASE WHEN last < e THEN e + ol - nl WHEN nl > 0 AND pos <= e THEN pos + ol - 1 ELSE e END,
+                 idx, s, e, greatest(least(last, e) - greatest(pos, s) + 1, 0),
+                 CASE WHEN (nl > 0 AND pos <= e AND last >= s) OR (nl = 0 AND pos > s AND pos <= e) THEN ol ELSE 0 END,
+                 (nl > 0 AND pos <= e AND last >= s) OR (nl = 0 AND pos > s AND pos <= e)
+          FROM (SELECT r.file, ask, r.k, s, e, g.idx, pos, ol, nl, last FROM r JOIN g ON g.file = r.file AND g.k = r.k WHERE s <= e)
+        )
+        SELECT file::VARCHAR AS file, ask::VARCHAR AS ask, idx, was_s AS start, was_e AS "end", added, removed, s > e AS began FROM r WHERE met""",
     "path_lives": PATHS + " SELECT * FROM lives",
     "path_lives_in_halves": PATHS + " SELECT path, born, origin_path, origin_born, renames FROM lives WHERE died IS NULL",
     "history_over_renames": PATHS + """,

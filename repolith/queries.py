@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
-from .operators import findings, graph, history, lineage, readings, replay, rollup, similarity, views
+from .operators import findings, graph, history, line_ranges, lineage, readings, replay, rollup, similarity, views
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
-from .sources import walk
+from .sources import git, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -881,3 +881,11 @@ def commits_ahead(spark: SparkSession, sf: str) -> DataFrame:
     head = t.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
     banked = banked_heads(spark, sf).where("head > 0").agg(F.min("head")).first()[0]
     return lineage.ahead(t.parents(spark, sf), banked, head)
+
+
+@query
+def line_range_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Which orders met two ranges of every supplier's file, from the newest back to where the range began."""
+    files = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"))
+    asked = files.select("file", F.explode(F.array(F.lit(0), F.lit(1))).alias("ask")).withColumn("start", F.col("file") % 50 + 1 + 30 * F.col("ask")).withColumn("end", F.col("start") + 10 + F.col("ask"))
+    return line_ranges.range_history(asked, git.parse_hunks(t.diff_lines(spark, sf)))

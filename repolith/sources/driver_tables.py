@@ -210,3 +210,15 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = keys.groupBy("run").agg(F.max("sha").alias("last")).select((F.col("run") + 1).alias("run"), "last")
     other = within.where("sha % 100 = 0").join(ends, "run", "left").select("sha", F.lit(1).alias("nth"), F.coalesce("before", "last").alias("parent"))
     return first.unionByName(other.where("parent is not null"))
+
+
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, idx, value``: the head of a hunk an order and supplier with returns, as a diff without context prints it; the last return says where and how long."""
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    last = F.max_by(F.struct("l_quantity", "l_partkey", "l_linenumber"), F.struct("l_linenumber", "l_partkey", "l_extendedprice")).alias("x")
+    h = line.groupBy(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("idx")).agg(last)
+    at, old, new = F.col("x.l_partkey") % 90 + 2, (F.col("x.l_linenumber") % 4).cast("long"), (F.col("x.l_quantity") % 6).cast("long")
+    h = h.select("file", "idx", at.alias("at"), old.alias("old"), new.alias("new")).where("old > 0 or new > 0")
+    # a side without lines names the line before
+    side = lambda n: F.concat((F.col("at") - (n == 0).cast("long")).cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
+    return h.select("file", "idx", F.concat(F.lit("@@ -"), side(F.col("old")), F.lit(" +"), side(F.col("new")), F.lit(" @@")).alias("value"))

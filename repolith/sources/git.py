@@ -102,3 +102,13 @@ def repository_log(spark: SparkSession, repo: str, since: str | None = None) ->
 
 def repository_blame(spark: SparkSession, repo: str, paths: list[str]) -> DataFrame:
     return blame_lines(spark.createDataFrame([(p, git(repo, "blame", "--line-porcelain", "--", p)) for p in paths], "path string, text string"))
+
+
+HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def parse_hunks(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Hunk heads of a diff without context -> ``old_start, old_lines, new_start, new_lines`` beside the other columns."""
+    g = lambda k: F.regexp_extract(column, HUNK, k)
+    n = lambda k: F.when(g(k) == "", F.lit(1)).otherwise(g(k).try_cast("long")).cast("long")
+    return lines.where(F.col(column).rlike(HUNK)).withColumns({"old_start": n(1), "old_lines": n(2), "new_start": n(3), "new_lines": n(4)}).drop(column)
