@@ -114,7 +114,8 @@ def read_records(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record in the archives.
 
-    A response's size and digest are those of the payload read; a revisit's are its response's.
+    A response's size and digest are those of the payload read. A revisit is joined to the response that its header
+    names, by page and digest, as several responses may be of one page; its size and digest are that response's.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -125,7 +126,8 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
                     for head, block in read_records(f):
                         kind, payload = head["warc-type"], block.partition(b"\r\n\r\n")[2]
                         full = kind == "response"
-                        got.append((page_of(head["warc-record-id"]), len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, kind, page_of(head["warc-refers-to"]) if not full else None))
+                        digest = hashlib.sha256(payload).hexdigest() if full else head["warc-payload-digest"].removeprefix("sha256:")
+                        got.append((page_of(head["warc-record-id"]), len(payload) if full else None, digest, kind, page_of(head["warc-refers-to"]) if not full else None))
                         if len(got) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names)
                             got = []
@@ -136,11 +138,14 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
     read = manifest.select("path").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     read = cut(read.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type)))
     # only responses that are referred to; a hot one is a small row on this side and its revisits are split on theirs
-    asked = read.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
-    originals = read.where("record_type = 'response'").join(asked, "page_id").groupBy("page_id").agg(F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("d"))
+    names = [F.col("refers_to").alias("page_id"), "payload_digest"]
+    asked = read.where("record_type = 'revisit'").select(*names).distinct()
     full = read.where("record_type = 'response'")
-    revisits = read.where("record_type = 'revisit'").join(originals.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
-    return full.unionByName(revisits.select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to"))
+    originals = full.join(asked, ["page_id", "payload_digest"]).groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"))
+    revisits = read.where("record_type = 'revisit'").join(originals.withColumnRenamed("page_id", "refers_to"), ["refers_to", "payload_digest"], "left")
+    # a digest that no payload has is not passed on
+    known = F.when(F.col("n").isNotNull(), F.col("payload_digest")).alias("payload_digest")
+    return full.unionByName(revisits.select("page_id", F.col("n").alias("payload_bytes"), known, "record_type", "refers_to"))
 
 
 def deduplicate(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:

@@ -308,6 +308,16 @@ def test_warc(spark, tmp_path):
     assert warc.deduplicate(pages.limit(0)).count() == 0
 
 
+def test_warc_pages_that_repeat(spark):
+    """Several responses of one page: a revisit has the digest of the one with its payload."""
+    a, b, long = "a" * 200, "b" * 200, "long ü " * 200_000
+    rows = [(1, b), (1, a), (2, a), (3, b), (1, "c"), (4, long), (5, long), (None, a), (1, a)]
+    got = warc.deduplicate(spark.createDataFrame([(i, "http://x/", h) for i, h in rows], "page_id long, url string, html string").repartition(3)).collect()
+    told = lambda i, h, kind, to: (i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), kind, to)
+    want = [told(1, b, "response", None), told(1, a, "response", None), told(1, a, "response", None), told(2, a, "revisit", 1), told(None, a, "revisit", 1), told(3, b, "revisit", 1), told(1, "c", "response", None), told(4, long, "response", None), told(5, long, "revisit", 4)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_warc_identifiers_of_any_text(spark):
     ids = ["a\nb", "<z>", "", "%0A", "plain", "é ü", None, " spaced "]
     pages = spark.createDataFrame([(i, "http://x", f"page {k} " * 30) for k, i in enumerate(ids)] + [("twin", None, "page 4 " * 30)], "page_id string, url string, html string")
