@@ -201,3 +201,24 @@ def test_mix_meets_targets_where_identifiers_repeat(spark, make_docs):
     rows = [doc(None, " ".join(["w"] * 9 + [f"n{k}"]), "a") for k in range(40)] + [doc(2, " ".join(["w"] * 9 + [f"m{k}"]), "b") for k in range(300)]
     got = mixing.mark_mix(make_docs(rows)).groupBy("row.source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken - r.target) <= 10 for r in got)
+
+
+@pytest.mark.parametrize("hot", [5, 900])
+def test_mix_meets_targets_where_rows_repeat(spark, make_docs, hot):
+    """Rows that repeat identifier, source and text are a group of which part is taken; other columns may differ."""
+    rows = [doc(7, "x y z q", "b")] * hot + [doc(None, "p q r", "c")] * 60 + [doc(500 + k, "w " * (k % 30 + 1), "a") for k in range(100)] + [doc(3, None, "d")] * 4
+    got = mixing.mark_mix(make_docs(rows, 5)).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken").collect()
+    assert len(got) == len(rows)
+    again = mixing.mark_mix(make_docs(rows, 2)).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and all(r.taken <= 3 * r.size for r in own)
+        # of equal rows none is taken twice more often than another
+        assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+
+
+def test_numbering_a_group_in_parts(spark):
+    rows = spark.createDataFrame([("s", 0.5, None, 1, 3, 41, f"r{k}") for k in range(200)] + [(None, 0.5, 1, 1, 3, 0, "none")], "source string, rank double, id long, tie long, size long, some long, mark string").repartition(7)
+    got = mixing.first_of_groups(rows).select("source", "mark", "once").collect()
+    assert len(got) == 201 and sum(r.once for r in got) == 41 and [r.once for r in got if r.source is None] == [0]
