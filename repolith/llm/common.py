@@ -67,6 +67,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Kept:
+    """A result that is written to the shared folder as Parquet and can be removed once nothing needs it any more.
+
+    Like a checkpoint it cuts the lineage and outlives executors; it is compressed, and goes when it is told to.
+    """
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.folder = shared_folder(self.spark, name)
+        df.write.parquet(self.folder)
+        # with the schema told, as an empty result may leave no file to read it from
+        self.frame = self.spark.read.schema(df.schema).parquet(self.folder)
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, as executors keep the files of shuffles until the driver has forgotten these."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

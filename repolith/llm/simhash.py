@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, released
+from .common import Kept, cut, released
 
 SHINGLE = 3
 SEED = 42
@@ -188,22 +188,25 @@ def find_links(prints: DataFrame, most: int = MOST_BITS, limit: int = BUCKET_LIM
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``u, v``; the root is the component's smallest node.
 
-    Large-star and small-star rounds until nothing changes; each round is written to the shared folder.
+    Large-star and small-star rounds until nothing changes; each round is written to the shared folder, and the one
+    before it removed.
     """
     flat = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = cut(flat(links))
+    edges = Kept(flat(links), "edges")
     seen = None
     for _ in range(MOST_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.frame.unionByName(edges.frame.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(flat(large))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(flat(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))))
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        large = Kept(flat(large), "large-star")
+        edges.remove()
+        least = large.frame.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.frame.join(least, "u")
+        edges = Kept(flat(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))), "edges")
+        large.remove()
+        state = tuple(edges.frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges.frame.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.frame.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
     raise RuntimeError("components did not settle")
 
