@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import days_since
@@ -79,3 +79,56 @@ def statistics(deltas: DataFrame) -> DataFrame:
 
 def busiest(deltas: DataFrame, most: int = 8) -> DataFrame:
     return deltas.groupBy("idx").agg(F.count("*").alias("changes")).orderBy(F.desc("changes"), "idx").limit(most)
+
+
+def as_of_join(asked: DataFrame, events: DataFrame, key: str, *values: str) -> DataFrame:
+    """``asked`` (key, idx, ...) with the values that the key's last event had up to that index; null before the first.
+
+    Both sides go through one shuffle by key and one sort, and the last event is carried forward; no pair of an
+    asked row and an event is made. ``events``: key, idx and the values, one a key and index.
+    """
+    value = F.struct(*values)
+    row = F.struct(*[F.col(c) for c in asked.columns])
+    kind = asked.select(row).schema[0].dataType
+    told = events.select(F.col(key).alias("k"), F.col("idx").alias("i"), F.lit(0).alias("late"), value.alias("v"), F.lit(None).cast(kind).alias("r"))
+    ask = asked.select(F.col(key).alias("k"), F.col("idx").alias("i"), F.lit(1).alias("late"), F.lit(None).cast(told.schema["v"].dataType).alias("v"), row.alias("r"))
+    by = Window.partitionBy("k").orderBy("i", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = told.unionByName(ask).withColumn("v", F.last("v", ignorenulls=True).over(by)).where("r is not null")
+    return out.select("r.*", *[F.col(f"v.{v}").alias(v) for v in values])
+
+
+#: Most checkpoints of a replay, and the fewest indices between two.
+MOST_CHECKPOINTS, LEAST_SPACING = 12, 2000
+
+
+def spacing(first: int, last: int, most: int = MOST_CHECKPOINTS, least: int = LEAST_SPACING) -> int:
+    """Indices from one checkpoint to the next."""
+    return max(least, -(-(last - first + 1) // most))
+
+
+def write_frames(deltas: DataFrame, folder: str, every: int) -> None:
+    """Stores changes for seeking: a snapshot at the start of every run of indices, and the changes of the run.
+
+    ``folder/states/run=k`` holds the live functions before run k, ``folder/tails/run=k`` its changes. All snapshots
+    come of one pass: the last change of each function a run, carried forward over the runs that have a snapshot.
+    """
+    run = F.floor(F.col("idx") / every).cast("long")
+    columns = ["func_id", "idx", "op", "path", "loc"]
+    deltas.select(*columns, run.alias("run")).repartition("run").write.partitionBy("run").mode("overwrite").parquet(f"{folder}/tails")
+    last = deltas.select(*columns).groupBy("func_id", run.alias("run")).agg(F.max_by(F.struct(*columns[1:]), "idx").alias("x"))
+    # a change lasts until the run of the function's next
+    ends = F.lead("run").over(Window.partitionBy("func_id").orderBy("run"))
+    top = deltas.agg(F.max(run).alias("top"))
+    spans = last.withColumn("until", ends).crossJoin(F.broadcast(top)).withColumn("until", F.coalesce("until", "top"))
+    spans = spans.where((F.col("until") > F.col("run")) & (F.col("x.op") == "set"))
+    states = spans.select("func_id", "x.*", F.explode(F.sequence(F.col("run") + 1, F.col("until"))).alias("run"))
+    states.repartition("run", "func_id").write.partitionBy("run").mode("overwrite").parquet(f"{folder}/states")
+
+
+def read_frame(spark: SparkSession, folder: str, idx: int, every: int) -> DataFrame:
+    """``func_id, path, loc`` as of the index: one snapshot and one run's changes are read, whatever was stored."""
+    run = idx // every
+    schema = "func_id string, idx long, op string, path string, loc long, run long"
+    part = lambda what: spark.read.schema(schema).parquet(f"{folder}/{what}").where(F.col("run") == run)
+    tail = part("tails").where(F.col("idx") <= idx)
+    return as_of(part("states").unionByName(tail), idx)

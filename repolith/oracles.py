@@ -18,6 +18,11 @@ R: dict[str, tuple[str, str]] = {
         FROM (SELECT l_suppkey, l_partkey, (5 * sum(l_quantity))::BIGINT AS loc, sum(l_quantity * l_linenumber)::BIGINT AS cog FROM lineitem GROUP BY ALL) x
         JOIN part ON p_partkey = x.l_partkey JOIN files f ON f.file_id = x.l_suppkey"""),
     "functions": ("funcs", "SELECT *, path || '#' || name || CASE WHEN ord > 1 THEN '#' || ord ELSE '' END AS key FROM funcs"),
+    "versions": ("functions", """
+        SELECT f.key, f.path, x.idx, o_orderdate AS ts, CASE WHEN m[3] < 45 THEN floor(m[3] / 10) END AS digest
+        FROM (SELECT l_orderkey AS idx, l_suppkey, l_partkey, max((l_linenumber, l_extendedprice, l_quantity)) AS m FROM lineitem GROUP BY ALL) x
+        JOIN functions f ON f.file_id = x.l_suppkey AND f.func_id = x.l_partkey JOIN orders ON o_orderkey = x.idx"""),
+    "edits": ("versions", "SELECT key, path, idx, epoch(ts::TIMESTAMP) // 86400 AS day FROM (SELECT *, lag(digest) OVER (PARTITION BY key ORDER BY idx) AS before FROM versions) WHERE digest IS NOT NULL AND digest IS DISTINCT FROM before"),
     "touches": ("files", "SELECT DISTINCT l_orderkey AS sha, path, o_orderdate AS ts, o_custkey AS author FROM lineitem JOIN files ON file_id = l_suppkey JOIN orders ON o_orderkey = l_orderkey"),
     "lines": ("files", """
         SELECT path, file_id, l_partkey AS func_id, o_orderkey AS commit, o_custkey AS author, o_orderdate AS ts,
@@ -212,6 +217,24 @@ ANCESTRY = """
         reach AS (SELECT head, head AS sha FROM banked WHERE head > 0 UNION SELECT top, top FROM top UNION SELECT r.head, p.parent FROM reach r JOIN p ON p.sha = r.sha)"""
 
 ORACLES: dict[str, str] = {
+    "edits_per_function": sql("edits", "SELECT key, " + ", ".join(f"sum(CASE WHEN day > epoch(NOW) // 86400 - {w} THEN 1 ELSE 0 END)::BIGINT AS w{k}" for k, w in enumerate((30, 365, 1500))) + " FROM edits GROUP BY key"),
+    "edited_facts": sql("edits", """
+        SELECT f.key, 'func' AS kind, k.n AS commits FROM functions f LEFT JOIN (SELECT key, sum(CASE WHEN day > epoch(NOW) // 86400 - 1500 THEN 1 ELSE 0 END)::BIGINT AS n FROM edits GROUP BY key) k USING (key) WHERE f.is_test IS DISTINCT FROM true
+        UNION ALL SELECT p.path, 'file', (SELECT sum(CASE WHEN day > epoch(NOW) // 86400 - 1500 THEN 1 ELSE 0 END)::BIGINT FROM (SELECT DISTINCT path, idx, day FROM edits) e WHERE e.path = p.path) FROM (SELECT DISTINCT path FROM functions) p"""),
+    "as_of_readings": """
+        WITH x AS (SELECT l_orderkey AS idx, l_suppkey || ':' || l_partkey AS func_id, max((l_linenumber, l_extendedprice, l_quantity, l_returnflag)) AS m FROM lineitem GROUP BY ALL),
+        d AS (SELECT idx, func_id, CASE WHEN m[4] = 'R' THEN 'del' ELSE 'set' END AS op, m[3]::BIGINT AS loc FROM x),
+        a AS (SELECT func_id, idx + 250 AS idx, idx AS since FROM d WHERE idx % 100 = 0)
+        SELECT a.func_id, a.idx, a.since, d.op, d.loc FROM a ASOF JOIN d ON a.func_id = d.func_id AND a.idx >= d.idx""",
+    "kept_pages": r"""
+        WITH p AS (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/') AS path FROM pages WHERE url LIKE '%://%'),
+        s AS (SELECT *, string_split(path, '/') AS c FROM p),
+        q AS (SELECT *, c[1] AS host, c[2] AS lang, c[len(c)] AS name FROM s)
+        SELECT page_id, path FROM q
+        WHERE NOT (len(c) > 1 AND host LIKE 'm.%') AND NOT (len(c) > 2 AND lang = 'fr') AND NOT (len(c) > 1 AND host = 'fr')
+          AND NOT (CASE WHEN len(c) > 1 AND host LIKE 'blog.%' AND len(c) = 3 AND lang = 'en' AND regexp_matches(name, '^3.$') THEN false
+                        WHEN len(c) > 1 AND host LIKE 'blog.%' AND regexp_matches(name, '^[0-4]') THEN true
+                        WHEN name LIKE '%.html' THEN NOT (len(c) = 3 AND lang = 'en') ELSE false END)""",
     "line_range_history": """
         WITH RECURSIVE x AS (SELECT l_suppkey AS file, l_orderkey AS idx, max((l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
         h AS (SELECT file, idx, m[2] % 90 + 2 AS pos, (m[1] % 4)::BIGINT AS ol, (m[4] % 6)::BIGINT AS nl FROM x),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades, measures
-from ..operators import graph, history, rollup
+from ..operators import edits, graph, rollup
 from .rules import FIELDS
 
 COLUMNS = ["key", "path", "name", "kind", "line", "pin", *FIELDS, "read_stale"]
@@ -25,6 +25,8 @@ class Tables:
     readings: DataFrame
     now: Column
     windows: list[int]
+    #: versions of bodies (``key, path, idx, ts, digest``): if given, ``commits`` counts edits instead of surviving lines
+    versions: DataFrame | None = None
 
 
 def build(t: Tables) -> DataFrame:
@@ -42,6 +44,11 @@ def build(t: Tables) -> DataFrame:
     ages = lambda: (measures.days_since(F.min("ts"), t.now).alias("age"), measures.days_since(F.max("ts"), t.now).alias("touched"), F.countDistinct(F.when(day > since, F.col("commit"))).alias("commits"), F.countDistinct("author").alias("headcount"))
     own = t.lines.groupBy("path", "func_id").agg(*ages())
     by_file = t.lines.groupBy("path").agg(*ages())
+    if t.versions is not None:
+        # an edit of which no line is left is one still
+        by_key, by_path = edits.commit_counts(t.versions, t.now, t.windows[0])
+        own = own.drop("commits").join(t.functions.select("path", "func_id", "key"), ["path", "func_id"], "full").join(by_key, "key", "left").drop("key")
+        by_file = by_file.drop("commits").join(by_path, "path", "full")
     # two numbers about the whole repository
     repo = t.lines.agg(F.countDistinct("author").alias("repo_headcount"), measures.days_since(F.min("ts"), t.now).alias("repo_age"))
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
-from .operators import findings, graph, history, line_ranges, lineage, readings, replay, rollup, similarity, views
+from .operators import edits, findings, graph, history, line_ranges, lineage, readings, replay, rollup, similarity, views
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
-from .sources import git, walk
+from .sources import git, ignores, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,7 @@ PAIR = "func: loc >= 200 and illegible >= 0.6"
 NULLS = "func: cognitive < 100000"
 WINDOWS = [30, 60, 90, 180]
 AS_OF = 9000
+EDIT_DAYS = [30, 365, 1500]
 
 
 def query(f: Query) -> Query:
@@ -889,3 +890,36 @@ def line_range_history(spark: SparkSession, sf: str) -> DataFrame:
     files = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"))
     asked = files.select("file", F.explode(F.array(F.lit(0), F.lit(1))).alias("ask")).withColumn("start", F.col("file") % 50 + 1 + 30 * F.col("ask")).withColumn("end", F.col("start") + 10 + F.col("ask"))
     return line_ranges.range_history(asked, git.parse_hunks(t.diff_lines(spark, sf)))
+
+
+@query
+def edits_per_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewrites of every body within each window of days."""
+    return edits.edit_counts(t.body_versions(spark, sf), t.now(), EDIT_DAYS)
+
+
+@query
+def edited_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The commits of all subjects in facts that are built from edits."""
+    own = tables(spark, sf)
+    own.versions, own.windows = t.body_versions(spark, sf), [EDIT_DAYS[-1]]
+    return plan.build(own).select("key", "kind", F.col("commits").cast("long").alias("commits"))
+
+
+@query
+def as_of_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """What every function's size and path were at each order of its supplier's hundredth parts: an as-of join."""
+    d = t.deltas(spark, sf)
+    asked = d.where("idx % 100 = 0").select("func_id", (F.col("idx") + 250).alias("idx"), F.col("idx").alias("since"))
+    return replay.as_of_join(asked, d, "func_id", "op", "loc")
+
+
+@query
+def kept_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files of a tree by host and path, without what the root's ignore file and those of some hosts leave out."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", ""), "/+$", "")
+    pages = t.table(spark, sf, "pages").where("url like '%://%'").select("page_id", path.alias("path"))
+    hosts = pages.select(F.substring_index("path", "/", 1).alias("folder")).where("folder like 'blog.%'").distinct().withColumn("text", F.lit("# of a host\n[0-4]*\n!/en/3?\n"))
+    root = spark.createDataFrame([("", "*.html\n!/*/en/*.html\n/m.*/\nfr/\n!fr/1*\n")], "folder string, text string")
+    gone = ignores.ignored_paths(pages, ignores.parse_ignores(root.unionByName(hosts)))
+    return pages.join(gone, "path", "left_anti").select("page_id", "path")

@@ -222,3 +222,15 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a side without lines names the line before
     side = lambda n: F.concat((F.col("at") - (n == 0).cast("long")).cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
     return h.select("file", "idx", F.concat(F.lit("@@ -"), side(F.col("old")), F.lit(" +"), side(F.col("new")), F.lit(" @@")).alias("value"))
+
+
+def body_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, path, idx, ts, digest``: the body of a function after each order that has it; its last line says what it was, a large one that it went."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    last = F.max_by("l_quantity", F.struct("l_linenumber", "l_extendedprice")).alias("q")
+    one = line.groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(last)
+    f = functions(spark, sf_dir).select("key", "path", F.col("file_id").alias("l_suppkey"), F.col("func_id").alias("l_partkey"))
+    c = commits(spark, sf_dir)
+    v = one.join(f, ["l_suppkey", "l_partkey"]).join(c, one.l_orderkey == c.sha)
+    digest = F.when(F.col("q") < 45, F.md5(F.floor(F.col("q") / 10).cast("string")))
+    return v.select("key", "path", F.col("seq").alias("idx"), "ts", digest.alias("digest"))
