@@ -235,6 +235,26 @@ ORACLES: dict[str, str] = {
           AND NOT (CASE WHEN len(c) > 1 AND host LIKE 'blog.%' AND len(c) = 3 AND lang = 'en' AND regexp_matches(name, '^3.$') THEN false
                         WHEN len(c) > 1 AND host LIKE 'blog.%' AND regexp_matches(name, '^[0-4]') THEN true
                         WHEN name LIKE '%.html' THEN NOT (len(c) = 3 AND lang = 'en') ELSE false END)""",
+    "rollup_after_readings": sql("sized", """
+        , n AS (SELECT path, d1, d2, loc, w, age, touched, told, CASE WHEN told THEN 0.92 ELSE surprise END AS surprise, CASE WHEN told THEN 0.95 ELSE documented END AS documented, told OR read AS read FROM (SELECT *, loc % 3 = 0 AND loc % 2 <> 0 AS told FROM sized)),
+        u AS (SELECT *, unnest([path, d2, d1, '']) AS node FROM n)
+        SELECT node AS path, sum(loc)::BIGINT AS loc, count(*) AS funcs, round(sum(w * surprise) / sum(w), 6) AS surprise, round(sum(w * documented) / sum(w), 6) AS documented, round(sum(CASE WHEN read THEN w ELSE 0 END) / sum(w), 6) AS analysed_share,
+               round(CASE WHEN bool_or(read) THEN sum(CASE WHEN read AND surprise > 0.5 THEN w ELSE 0 END) / sum(CASE WHEN read THEN w ELSE 0 END) END, 6) AS hot_share, round(max(age), 6) AS age, round(min(touched), 6) AS touched, round(max(surprise), 6) AS top_surprise
+        FROM u GROUP BY node"""),
+    "reading_summary": sql("functions", """
+        , r AS (SELECT f.key, coalesce(f.header = 1, false) AS out, doc_id, quality, toxic FROM functions f LEFT JOIN labels ON doc_id = (f.func_id * 31 + f.file_id) % (SELECT count(*) FROM documents)),
+        g AS (SELECT key, out, doc_id IS NOT NULL AS has, doc_id % 5 = 0 AS stale, toxic = 1 AS trap, CASE WHEN quality = 1 AND toxic = 0 THEN 'full' WHEN quality = 1 THEN 'most' WHEN toxic = 0 THEN 'some' ELSE 'none' END AS plain, doc_id, quality FROM r),
+        h AS (SELECT *, has AND NOT stale AND NOT out AS rd, CASE WHEN doc_id % 9 <> 0 THEN plain WHEN quality = 0 THEN 'none' ELSE 'full' END AS grade, CASE WHEN doc_id % 5 <> 1 THEN plain END AS legible FROM g)
+        SELECT count(*) FILTER (WHERE NOT out) AS functions, count(*) FILTER (WHERE out) AS excluded, count(*) FILTER (WHERE rd) AS read, count(*) FILTER (WHERE has AND stale AND NOT out) AS stale,
+               count(*) FILTER (WHERE NOT out AND NOT has) AS unread, count(*) FILTER (WHERE rd AND trap) AS traps, """ + ", ".join(f"count(*) FILTER (WHERE rd AND {c} = '{g}') AS {n}_{g}" for n, c in (("predicted", "grade"), ("legible", "legible")) for g in ("full", "most", "some", "none")) + " FROM h"),
+    "frame_tree": sql("deltas", """
+        , a AS (SELECT func_id, path, loc, op, idx FROM deltas WHERE idx <= 9000 QUALIFY row_number() OVER (PARTITION BY func_id ORDER BY idx DESC) = 1),
+        b AS (SELECT func_id, path, op FROM deltas WHERE idx <= 8800 QUALIFY row_number() OVER (PARTITION BY func_id ORDER BY idx DESC) = 1),
+        j AS (SELECT coalesce(a.path, b.path) AS path, a.op = 'set' AS now, coalesce(b.op = 'set', false) AS was, a.loc, a.idx > 8800 AS moved FROM a LEFT JOIN b USING (func_id)),
+        n AS (SELECT path, now::INT AS functions, CASE WHEN now THEN loc ELSE 0 END AS lines, was::INT AS before, (now AND NOT was OR now AND moved OR was AND NOT now)::INT AS news FROM j WHERE now OR was),
+        u AS (SELECT *, unnest([path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 1), '']) AS node FROM n)
+        SELECT node AS path, CASE WHEN node = min(path) AND node <> '' AND node LIKE '%/%/%' THEN 'file' ELSE 'dir' END AS kind, sum(functions)::BIGINT AS functions, sum(lines)::BIGINT AS lines, sum(before) = 0 AS appeared, sum(before) > 0 AND sum(news) > 0 AS edited
+        FROM u GROUP BY node HAVING sum(functions) > 0"""),
     "line_range_history": """
         WITH RECURSIVE x AS (SELECT l_suppkey AS file, l_orderkey AS idx, max((l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
         h AS (SELECT file, idx, m[2] % 90 + 2 AS pos, (m[1] % 4)::BIGINT AS ol, (m[4] % 6)::BIGINT AS nl FROM x),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, grades, measures, paths, text
-from .operators import edits, findings, graph, history, line_ranges, lineage, readings, replay, rollup, similarity, views
+from .operators import edits, findings, graph, history, line_ranges, lineage, readings, replay, reread, rollup, similarity, views
 from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
@@ -21,7 +21,7 @@ SINGLE = "func: loc >= 200"
 PAIR = "func: loc >= 200 and illegible >= 0.6"
 NULLS = "func: cognitive < 100000"
 WINDOWS = [30, 60, 90, 180]
-AS_OF = 9000
+AS_OF, SINCE = 9000, 8800
 EDIT_DAYS = [30, 365, 1500]
 
 
@@ -923,3 +923,28 @@ def kept_pages(spark: SparkSession, sf: str) -> DataFrame:
     root = spark.createDataFrame([("", "*.html\n!/*/en/*.html\n/m.*/\nfr/\n!fr/1*\n")], "folder string, text string")
     gone = ignores.ignored_paths(pages, ignores.parse_ignores(root.unionByName(hosts)))
     return pages.join(gone, "path", "left_anti").select("page_id", "path")
+
+
+@query
+def rollup_after_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """New readings of some functions: the tree's figures from its state and the difference they make."""
+    before = sized(spark, sf)
+    told = before.where("loc % 3 = 0").select("key", F.lit(0.92).alias("surprise"), F.lit(0.95).alias("documented"), (F.col("loc") % 2 == 0).alias("stale"))
+    after = reread.apply_readings(before, told)
+    changed = after.where("source = 'agent'")
+    state = reread.rollup_delta(reread.rollup_state(before), before.join(changed.select("key"), "key", "left_semi"), changed, after)
+    return rounded(reread.figures(state), "surprise", "documented", "analysed_share", "hot_share", "age", "touched", "top_surprise")
+
+
+@query
+def reading_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What has been read of the repository, by grade."""
+    f = t.functions(spark, sf).select("key", (F.col("header") == 1).alias("excluded"))
+    r = key_of_readings(spark, sf, t.functions(spark, sf)).select(F.col("func_key").alias("key"), F.when(F.col("reading_id") % 9 != 0, F.col("predicted")).alias("predicted"), "surprised", "legible", "trap", "stale", F.lit(True).alias("has_reading"))
+    return reread.summary(f.join(r, "key", "left").withColumn("has_reading", F.coalesce("has_reading", F.lit(False))))
+
+
+@query
+def frame_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree as of an order, with what appeared and what was edited since an earlier one."""
+    return reread.frame_tree(t.deltas(spark, sf), AS_OF, SINCE)
