@@ -115,3 +115,19 @@ def clone_groups(functions: DataFrame) -> DataFrame:
     groups = f.groupBy("family", "shape").agg(F.count("*").alias("clone_count"), F.min("key").alias("first")).where("clone_count >= 2")
     groups = groups.withColumn("clone_group", F.row_number().over(Window.orderBy("first")))
     return f.join(groups, ["family", "shape"]).select("key", "clone_group", "clone_count")
+
+
+def neighbours_by_file(edges: DataFrame, nodes: DataFrame, key: object) -> DataFrame:
+    """Who a node calls, is called by and is a copy of, grouped by file: ``side, path, here, nodes, names``.
+
+    ``nodes``: node, path, name, shape (null where a body has none). A node is no copy of itself.
+    """
+    own = nodes.where(F.col("node") == key).select(F.col("path").alias("own"), F.col("shape").alias("own_shape")).limit(1)
+    callers = edges.where(F.col("dst") == key).select(F.col("src").alias("node"), F.lit("caller").alias("side"))
+    callees = edges.where(F.col("src") == key).select(F.col("dst").alias("node"), F.lit("callee").alias("side"))
+    # one row: the node that is asked of
+    near = callers.unionByName(callees).join(nodes, "node").crossJoin(F.broadcast(own))
+    copies = nodes.where(F.col("node") != key).join(F.broadcast(own), F.col("shape") == F.col("own_shape")).withColumn("side", F.lit("clone"))
+    columns = ["side", "path", "own", "name"]
+    found = near.select(columns).unionByName(copies.select(columns))
+    return found.groupBy("side", "path").agg(F.max(F.col("path") == F.col("own")).alias("here"), F.count("*").alias("nodes"), F.sort_array(F.collect_list("name")).alias("names"))

@@ -255,6 +255,14 @@ ORACLES: dict[str, str] = {
         u AS (SELECT *, unnest([path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 1), '']) AS node FROM n)
         SELECT node AS path, CASE WHEN node = min(path) AND node <> '' AND node LIKE '%/%/%' THEN 'file' ELSE 'dir' END AS kind, sum(functions)::BIGINT AS functions, sum(lines)::BIGINT AS lines, sum(before) = 0 AS appeared, sum(before) > 0 AND sum(news) > 0 AS edited
         FROM u GROUP BY node HAVING sum(functions) > 0"""),
+    "scoped_facts": sql("facts functions", "SELECT key, kind, round(loc::DOUBLE, 6) AS loc, round(callers::DOUBLE, 6) AS callers, round(tangle::DOUBLE, 6) AS tangle FROM facts WHERE key NOT IN (SELECT key FROM functions WHERE header = 1) AND key NOT IN (SELECT path FROM functions WHERE header = 1)"),
+    "neighbour_listing": sql("nodes edges", """
+        , n AS (SELECT 'caller' AS side, src AS node FROM edges WHERE dst = 1 UNION ALL SELECT 'callee', dst FROM edges WHERE src = 1 UNION ALL SELECT 'clone', node FROM nodes WHERE node <> 1 AND shape = (SELECT shape FROM nodes WHERE node = 1))
+        SELECT side, dir AS path, bool_or(dir = (SELECT dir FROM nodes WHERE node = 1)) AS here, count(*) AS nodes, min(name) AS first FROM n JOIN nodes USING (node) GROUP BY side, dir"""),
+    "changed_files": sql("deltas", """
+        , a AS (SELECT path, sum(loc) AS size, max(idx) AS time FROM (SELECT * FROM deltas WHERE idx <= 60 QUALIFY row_number() OVER (PARTITION BY func_id ORDER BY idx DESC) = 1) WHERE op = 'set' GROUP BY path),
+        b AS (SELECT path, sum(loc) AS size, max(idx) AS time FROM (SELECT * FROM deltas WHERE idx <= 9000 QUALIFY row_number() OVER (PARTITION BY func_id ORDER BY idx DESC) = 1) WHERE op = 'set' GROUP BY path)
+        SELECT path, CASE WHEN a.size IS NULL THEN 'added' WHEN b.size IS NULL THEN 'gone' ELSE 'changed' END AS op FROM a FULL JOIN b USING (path) WHERE a.size IS NULL OR b.size IS NULL OR a.size <> b.size OR a.time <> b.time"""),
     "line_range_history": """
         WITH RECURSIVE x AS (SELECT l_suppkey AS file, l_orderkey AS idx, max((l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
         h AS (SELECT file, idx, m[2] % 90 + 2 AS pos, (m[1] % 4)::BIGINT AS ol, (m[4] % 6)::BIGINT AS nl FROM x),

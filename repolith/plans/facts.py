@@ -35,6 +35,8 @@ def build(t: Tables) -> DataFrame:
     Missing stays null: no history is not a history of nothing. Test functions count for ordinals and for
     nothing else. A subject's pin is that of its body, a file's that of its functions' bodies in the order of
     their lines; where ``functions`` has no ``body`` there is no pin, and "fine for now" rests on the fields.
+    Where ``functions`` says that a file is ``excluded`` (generated, vendored or left out by scope; a column that is true or a
+    reason), neither it nor its functions are subjects; they still count for calls, clones and the repository.
     """
     degrees = graph.degrees(t.nodes, t.edges).join(graph.under_test(t.nodes, t.edges), "node").withColumnRenamed("node", "func_id")
     tangled = rollup.with_medians(t.functions, rollup.band_medians(t.functions)).withColumn("tangle", measures.tangle(F.col("cognitive").cast("double"), F.col("median"))[0])
@@ -59,22 +61,24 @@ def build(t: Tables) -> DataFrame:
         grades.documented(grades.effective_documented(F.col("documented"), F.col("derivable"))).alias("doc_relevant"),
         grades.surprise(F.col("legible")).alias("illegible"), F.col("trap").cast("int").alias("trap"), F.col("stale").alias("read_stale"),
     )
+    kind = t.functions.schema["excluded"].dataType.simpleString() if "excluded" in t.functions.columns else None
+    out = F.lit(False) if kind is None else F.coalesce("excluded", F.lit(False)) if kind == "boolean" else F.col("excluded").isNotNull()
     body = F.col("body") if "body" in t.functions.columns else F.lit(None).cast("string")
     tangled = tangled.withColumn("pin", grades.body_pin(body)).drop("body")
     pins = F.transform(F.sort_array(F.collect_list(F.when(F.col("pin").isNotNull(), F.struct("start_line", "pin")))), lambda x: x["pin"])
     file_pin = F.when(F.size(pins) > 0, grades.body_pin(F.array_join(pins, " ")))
-    files = tangled.groupBy("path").agg(F.sum("loc").alias("file_loc"), F.sum("ncloc").alias("file_ncloc"), F.sum(F.when(F.coalesce("is_test", F.lit(False)), 0).otherwise(1)).alias("file_funcs"), F.sum("cognitive").alias("file_cognitive"), F.max("has_doc").alias("file_doc"), file_pin.alias("file_pin"))
+    files = tangled.groupBy("path").agg(F.sum("loc").alias("file_loc"), F.sum("ncloc").alias("file_ncloc"), F.sum(F.when(F.coalesce("is_test", F.lit(False)), 0).otherwise(1)).alias("file_funcs"), F.sum("cognitive").alias("file_cognitive"), F.max("has_doc").alias("file_doc"), file_pin.alias("file_pin"), F.max(out).alias("out"))
 
-    f = tangled.join(files, "path").join(degrees, "func_id", "left").join(own, ["path", "func_id"], "left").join(by_file.select("path", F.col("headcount").alias("file_headcount")), "path", "left")
+    f = tangled.join(files.drop("out"), "path").join(degrees, "func_id", "left").join(own, ["path", "func_id"], "left").join(by_file.select("path", F.col("headcount").alias("file_headcount")), "path", "left")
     f = f.join(clones, "shape", "left") if clones is not None else f.withColumn("clone_count", F.lit(None))
-    f = f.join(read, F.col("key") == F.col("func_key"), "left").crossJoin(F.broadcast(repo)).where("not coalesce(is_test, false)")
+    f = f.join(read, F.col("key") == F.col("func_key"), "left").crossJoin(F.broadcast(repo)).where("not coalesce(is_test, false)").where(~out)
     funcs = f.select(
         "key", "path", "name", F.lit("func").alias("kind"), F.col("start_line").alias("line"), "pin",
         "loc", "ncloc", F.lit(None).alias("funcs"), "callers", "calls", "clone_count", "cognitive", "tangle", "age", "touched", "commits",
         F.col("func_key").isNotNull().cast("int").alias("read"), "surprise", "doc_relevant", F.col("has_doc").cast("int").alias("doc_present"), "under_test", "dependents",
         "header", "illegible", "headcount", "file_loc", "file_funcs", "file_headcount", "repo_headcount", "repo_age", "trap", F.coalesce("read_stale", F.lit(False)).alias("read_stale"),
     )
-    g = files.join(by_file, "path", "left").crossJoin(F.broadcast(repo))
+    g = files.where("not out").join(by_file, "path", "left").crossJoin(F.broadcast(repo))
     none = {c: F.lit(None) for c in ("callers", "calls", "clone_count", "tangle", "surprise", "doc_relevant", "under_test", "dependents", "header", "illegible", "file_loc", "file_funcs", "file_headcount", "trap")}
     own_file = {"loc": F.col("file_loc"), "ncloc": F.col("file_ncloc"), "funcs": F.col("file_funcs"), "cognitive": F.col("file_cognitive"), "doc_present": F.col("file_doc").cast("int"), "read": F.lit(0)}
     name = F.substring_index("path", "/", -1)

@@ -13,6 +13,7 @@ from .plans import facts as plan
 from .plans.rules import catalogue, parse
 from .sources import driver_tables as t
 from .sources import git, ignores, walk
+from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +22,7 @@ SINGLE = "func: loc >= 200"
 PAIR = "func: loc >= 200 and illegible >= 0.6"
 NULLS = "func: cognitive < 100000"
 WINDOWS = [30, 60, 90, 180]
-AS_OF, SINCE = 9000, 8800
+AS_OF, SINCE, EARLIER = 9000, 8800, 60
 EDIT_DAYS = [30, 365, 1500]
 
 
@@ -948,3 +949,27 @@ def reading_summary(spark: SparkSession, sf: str) -> DataFrame:
 def frame_tree(spark: SparkSession, sf: str) -> DataFrame:
     """The tree as of an order, with what appeared and what was edited since an earlier one."""
     return reread.frame_tree(t.deltas(spark, sf), AS_OF, SINCE)
+
+
+@query
+def scoped_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects of facts whose headers are left out of the scope."""
+    own = tables(spark, sf)
+    own.functions = own.functions.withColumn("excluded", F.when(F.col("header") == 1, "generated"))
+    return rounded(plan.build(own).select("key", "kind", "loc", "callers", "tangle"), "loc", "callers", "tangle")
+
+
+@query
+def neighbour_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Callers, callees and copies of a part, by brand."""
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.concat_ws(":", "p_brand", "p_size").alias("shape"))
+    nodes = t.call_nodes(spark, sf).join(p, "node").withColumnRenamed("dir", "path")
+    return graph.neighbours_by_file(t.call_edges(spark, sf), nodes, 1).select("side", "path", "here", "nodes", F.element_at("names", 1).alias("first"))
+
+
+@query
+def changed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that were added, changed or went between two states of a history."""
+    d = t.deltas(spark, sf)
+    state = lambda idx: replay.as_of(d, idx, "path", "loc", "idx").groupBy("path").agg(F.sum("loc").alias("size"), F.max("idx").alias("time"))
+    return watch.changes(state(EARLIER), state(AS_OF))
