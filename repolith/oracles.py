@@ -327,7 +327,7 @@ ORACLES: dict[str, str] = {
     "path_history": sql("touches", "SELECT path, count(*) AS commits, count(*) FILTER (WHERE ts >= NOW - INTERVAL 90 DAY) AS recent, min(ts) AS oldest, max(ts) AS newest, arg_max(author, (ts, -sha)) AS last_author, arg_max(sha, (ts, -sha)) AS last_commit FROM touches GROUP BY path"),
     "history_merge_incremental": sql("touches", "SELECT path, count(*) AS commits, count(*) FILTER (WHERE ts >= NOW - INTERVAL 90 DAY) AS recent, min(ts) AS oldest, max(ts) AS newest, arg_max(author, (ts, -sha)) AS last_author, arg_max(sha, (ts, -sha)) AS last_commit FROM touches GROUP BY path"),
     "dir_commit_once": sql("touches", "SELECT d AS path, count(DISTINCT sha) AS commits FROM (SELECT sha, unnest([path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 1), '']) AS d FROM touches) GROUP BY d"),
-    "author_rank": "SELECT o_custkey AS author, count(*) AS commits FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
+    "author_rank": "SELECT o_custkey AS author, count(*) AS commits FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1024",
     "blame_range": sql("lines", """
         , x AS (SELECT *, path || '#' || ((line_no - 1) // 50 * 50 + 1) AS key FROM lines),
         a AS (SELECT key, arg_max(author, (n, first)) AS main_author, count(*) AS headcount FROM (SELECT key, author, count(*) AS n, min(line_no) AS first FROM x GROUP BY ALL) GROUP BY key)
@@ -363,10 +363,11 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, count(*) OVER (PARTITION BY lang, shape) AS clone_count, min(key) OVER (PARTITION BY lang, shape) AS first FROM s)
         SELECT key, dense_rank() OVER (ORDER BY first) AS clone_group, clone_count FROM g WHERE clone_count > 1""",
     "jaccard_shingles": r"""
-        WITH t AS (SELECT conv_id, turn, regexp_extract_all(min(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM conversations WHERE turn < 2 GROUP BY ALL),
-        g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
-        p AS (SELECT a.conv_id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS k FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
-        SELECT conv_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE k / (len(a) + len(b) - k) END, 6) AS similarity, len(a) AS n_a, len(b) AS n_b FROM p""",
+        WITH t AS (SELECT conv_id, turn, regexp_extract_all(min(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM conversations GROUP BY ALL),
+        g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS b FROM t),
+        o AS (SELECT conv_id, turn, b, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM g),
+        p AS (SELECT *, len(list_intersect(a, b)) AS k FROM o WHERE a IS NOT NULL)
+        SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE k / (len(a) + len(b) - k) END, 6) AS similarity, len(a) AS n_a, len(b) AS n_b FROM p""",
     "parsed_functions": PARSED + """
         SELECT 'src/' || p_partkey AS path, lang, 'f' || p_partkey AS name, 4::BIGINT AS start_line, 3 + loc AS end_line, loc, loc - 1 AS ncloc,
                deep * (deep + 1) // 2 + CASE WHEN logic THEN deep ELSE 0 END + 1 + chain AS cognitive, (long + 2 + CASE WHEN chain > 0 THEN 1 ELSE 0 END)::INT AS calls, 'do_1' AS first_call FROM w""",

@@ -251,7 +251,7 @@ def dir_commit_once(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def author_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return history.rank_authors(t.commits(spark, sf), 100)
+    return history.rank_authors(t.commits(spark, sf))
 
 
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,11 +410,11 @@ def clone_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def jaccard_shingles(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations' first turns against their second, by token shingles."""
+    """Every turn of a conversation against the turn before it, by token shingles."""
     c = t.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    a, b = c.where("turn = 0").select("conv_id", F.col("text").alias("a")), c.where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    both = a.join(b, "conv_id").select("conv_id", text.shingles(F.col("a")).alias("a"), text.shingles(F.col("b")).alias("b"))
-    return rounded(both.select("conv_id", text.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.size("a").alias("n_a"), F.size("b").alias("n_b")), "similarity")
+    c = c.select("conv_id", "turn", text.shingles(F.col("text")).alias("b"))
+    both = c.withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).where("a is not null")
+    return rounded(both.select("conv_id", "turn", text.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.size("a").alias("n_a"), F.size("b").alias("n_b")), "similarity")
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
