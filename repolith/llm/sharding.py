@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 BITS = 4
 SLICES = 64
 ACCURACY = 2000
-#: Rows of a sample that splitters of a text column come from, and the most cells that are counted.
-TEXTS = 20_000
+#: Characters by which texts are dealt when they are put in order, and the most cells that are counted.
+HEAD = 4
 MOST_CELLS = 1 << 20
 
 
@@ -44,12 +44,25 @@ def level(number: Column, splitters: list) -> Column:
 
 
 def text_splitters(rows: DataFrame, name: str, parts: int, total: int) -> list[str]:
-    """Texts that cut those of a column into even parts, from a sample of ``TEXTS`` rows; the first of each part but one."""
-    known = rows.select(F.col(name).alias("v")).where(F.col("v").isNotNull())
-    some = known if total <= TEXTS else known.sample(TEXTS / total, 7)
-    # one task sorts the sample
-    tile = F.ntile(parts).over(Window.orderBy("v"))
-    return sorted({r["v"] for r in some.withColumn("tile", tile).where("tile > 1").groupBy("tile").agg(F.min("v").alias("v")).collect()})
+    """Texts that cut those of a column into even parts: the first of each part but one, counted over all rows.
+
+    Different texts are counted first. The places of a text are those of all texts with lesser heads and of lesser
+    texts with its head, so the texts are sorted by head, and one task sees heads alone.
+    """
+    values = rows.select(F.col(name).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    values = values.withColumn("head", F.substring("v", 1, HEAD))
+    heads = values.groupBy("head").agg(F.sum("n").alias("k"))
+    known = heads.agg(F.sum("k")).first()[0] or 0
+    # as ntile deals rows: the first parts have one more where they do not come out even
+    size, more = divmod(known, parts)
+    starts = sorted({k * size + min(k, more) for k in range(1, parts)} - {known})
+    if not starts:
+        return []
+    before = heads.select("head", (F.sum("k").over(Window.orderBy("head")) - F.col("k")).alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("head").orderBy("v"))
+    placed = values.join(before, "head").withColumn("upto", upto)
+    first = F.exists(F.array(*[F.lit(s) for s in starts]), lambda s: (s >= F.col("upto") - F.col("n")) & (s < F.col("upto")))
+    return sorted(r["v"] for r in placed.where(first).select("v").collect())
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
