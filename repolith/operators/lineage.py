@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, drop
 
 #: Before all commits: paths that a stored state hands over live since then.
 BEFORE = -1
@@ -63,7 +63,8 @@ def lives(changes: DataFrame, opening: DataFrame | None = None) -> DataFrame:
         above = at.select(F.col("path").alias("up"), F.col("born").alias("up_born"), F.col("up").alias("top"), F.col("up_born").alias("top_born"), F.col("renames").alias("more"))
         step = at.join(above, ["up", "up_born"], "left")
         # a first life stands for itself
-        at = cut(step.select("path", "born", "died", F.coalesce("top", "up").alias("up"), F.coalesce("top_born", "up_born").alias("up_born"), (F.col("renames") + F.coalesce("more", F.lit(0))).alias("renames"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
+        at, was = cut(step.select("path", "born", "died", F.coalesce("top", "up").alias("up"), F.coalesce("top_born", "up_born").alias("up_born"), (F.col("renames") + F.coalesce("more", F.lit(0))).alias("renames"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))), at
+        drop(was)
         moved = at.where("moved").limit(1).count()
         at = at.drop("moved")
         if not moved:
@@ -118,7 +119,8 @@ def chains(parents: DataFrame) -> DataFrame:
     while True:
         above = at.select(F.col("sha").alias("up"), F.col("up").alias("top"), F.col("place").alias("more"))
         step = at.join(above, "up", "left")
-        at = cut(step.select("sha", F.coalesce("top", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
+        at, was = cut(step.select("sha", F.coalesce("top", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))), at
+        drop(was)
         moved = at.where("moved").limit(1).count()
         at = at.drop("moved")
         if not moved:
