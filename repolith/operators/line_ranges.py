@@ -53,9 +53,11 @@ def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def commit() -> pa.RecordBatch | None:
         nonlocal start, end, names, waiting
-        hunks, waiting = np.array(waiting, np.int64).reshape(-1, 4), []
-        if not len(hunks) or not len(start):
+        told, waiting = waiting, []
+        # most commits of a file lie behind the ranges' beginnings
+        if not told or not names:
             return None
+        hunks = np.array(told, np.int64).reshape(-1, 4)
         back_start, back_end, met, added, removed = step_back(start, end, hunks)
         began = back_start > back_end
         told = np.flatnonzero(met)
@@ -75,7 +77,7 @@ def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == ASKED:
                 names.append(ask)
                 start, end = np.r_[start, lines[0]], np.r_[end, lines[1]]
-            else:
+            elif names:
                 waiting.append(lines)
     if (done := commit()) is not None:
         yield done
@@ -93,7 +95,9 @@ def range_history(asked: DataFrame, hunks: DataFrame) -> DataFrame:
     told = hunks.select(F.col("file").cast("string").alias("file"), F.lit(HUNK).alias("kind"), F.col("idx").cast("long").alias("idx"), F.lit(None).cast("string").alias("ask"), *[F.col(c).cast("long").alias(n) for c, n in zip(("old_start", "old_lines", "new_start", "new_lines"), "abcd", strict=True)])
     # files that nobody asks of stay where they are
     told = told.join(ranges.select("file").distinct(), "file", "left_semi")
-    rows = ranges.unionByName(told.select(ranges.columns)).repartition("file").sortWithinPartitions("file", "kind", F.desc("idx"), "c", "a")
+    # by number, as small rows that take long would be put together by their bytes
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ranges.unionByName(told.select(ranges.columns)).repartition(parts, "file").sortWithinPartitions("file", "kind", F.desc("idx"), "c", "a")
     return rows.mapInArrow(carry, TOUCHED)
 
 
