@@ -62,3 +62,38 @@ def test_balance_takes_more_hits_than_it_brings_to_the_driver(spark, monkeypatch
     assert got == findings.balance_matrix(rows, rules, 400)
     # (rule, value) rows of groups of subjects, not of subjects
     assert asked[0] <= 2 * 5 * 3
+
+
+def test_text_splitters_are_those_of_all_rows(spark, monkeypatch):
+    from repolith.llm import sharding
+
+    monkeypatch.setattr(sharding, "TEXTS", 50, raising=False)
+    texts = [f"{'abc'[k % 3]}{k * 7919 % 1009:04d}" if k % 50 else None for k in range(3000)] + ["same"] * 900
+    df = spark.createDataFrame([(t,) for t in texts], "v string").repartition(5)
+    for parts in (2, 7, 16):
+        known = sorted(t for t in texts if t is not None)
+        size, more = divmod(len(known), parts)
+        want = sorted({known[k * size + min(k, more)] for k in range(1, parts)})
+        assert sharding.text_splitters(df, "v", parts, len(texts)) == want
+    assert sharding.text_splitters(df.where("v is null"), "v", 4, 60) == []
+    assert sharding.text_splitters(df.where("v like 'a000%'").limit(2), "v", 8, 2) != []
+
+
+def test_source_files_are_dealt_over_all_cores(spark):
+    from repolith.sources import driver_tables as t
+
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert t.source_files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == many
+
+
+def test_rounds_are_dropped_once_nothing_reads_them(spark, tmp_path):
+    from repolith.operators import lineage
+
+    chain = spark.range(40).select(F.col("id").alias("sha"), F.lit(0).alias("nth"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    dropped, of = [], lineage.drop
+    try:
+        lineage.drop = lambda df: (dropped.append(1), of(df))[1]
+        got = {r.sha: (r.chain, r.place) for r in lineage.chains(chain).collect()}
+    finally:
+        lineage.drop = of
+    assert got == {k: (0, k) for k in range(40)} and len(dropped) >= 6
