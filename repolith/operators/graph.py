@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``callers, calls, dependents`` of every node.
@@ -21,11 +23,16 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("node", zero("callers").alias("callers"), zero("calls").alias("calls"), F.when(F.col("is_test").isNotNull(), zero("dependents")).alias("dependents"))
 
 
-def locality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``incident``: distinct neighbours either way; ``away``: those in another directory; ``gap``: their share."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def locality(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``incident``: distinct neighbours either way; ``away``: those in another directory; ``gap``: their share.
+
+    ``tasks``: how many the edges, twice as many as they come, are dealt to at each step.
+    """
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = dealt(edges.select(F.inline(ways)), tasks, "dst").distinct()
     dirs = nodes.select("node", "dir")
-    seen = both.join(dirs.withColumnRenamed("dir", "own"), F.col("src") == F.col("node")).drop("node").join(dirs.withColumnRenamed("dir", "other"), F.col("dst") == F.col("node")).drop("node")
+    far = both.join(dirs.select(F.col("node").alias("dst"), F.col("dir").alias("other")), "dst").select("src", "other")
+    seen = dealt(far, tasks, "src").join(dirs.select(F.col("node").alias("src"), F.col("dir").alias("own")), "src")
     counts = seen.groupBy("src").agg(F.count("*").alias("incident"), F.sum((F.col("own") != F.col("other")).cast("long")).alias("away"))
     n = nodes.join(counts, nodes.node == counts.src, "left")
     incident, away = F.coalesce("incident", F.lit(0)), F.coalesce("away", F.lit(0))
