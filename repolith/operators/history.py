@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import DAY, days_since
 from ..functions.paths import ancestors
+from ..functions.tasks import dealt
 
 
 def path_history(touches: DataFrame, now: Column, recent_days: int = 90) -> DataFrame:
@@ -27,9 +28,12 @@ def path_history(touches: DataFrame, now: Column, recent_days: int = 90) -> Data
     )
 
 
-def with_dirs(commit_files: DataFrame) -> DataFrame:
-    """``sha, path`` -> the same with every directory above each path; a commit counts once for each."""
-    return commit_files.select("sha", F.explode(ancestors(F.col("path"), itself=True)).alias("path")).distinct()
+def with_dirs(commit_files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``sha, path`` -> the same with every directory above each path; a commit counts once for each.
+
+    ``tasks``: how many the commits are dealt to; the directories are told apart where the commit is.
+    """
+    return dealt(commit_files.select("sha", "path"), tasks, "sha").select("sha", F.explode(ancestors(F.col("path"), itself=True)).alias("path")).distinct()
 
 
 def rank_authors(commits: DataFrame, keep: int = 1024) -> DataFrame:
