@@ -65,28 +65,30 @@ def replace_recent(bank: DataFrame, window: DataFrame) -> DataFrame:
     return bank.join(fresh, "path", "left").withColumn("recent", F.coalesce("fresh", F.lit(0))).drop("fresh")
 
 
-def blame_ranges(functions: DataFrame, lines: DataFrame, now: Column) -> DataFrame:
+def blame_ranges(functions: DataFrame, lines: DataFrame, now: Column, tasks: int | None = None) -> DataFrame:
     """Functions with the lines in ``start_line..end_line`` of their path: commits, ages, authors, headcount.
 
     The path is the equi-key of the range join. The newest line is the first with the latest time; the main
     author has the most lines, of equals the one who first appears last. Functions without lines stay, null.
+    ``tasks``: how many the paths are dealt to; a function's lines are counted where its path is.
     """
     f = functions.select("key", "path", "start_line", "end_line")
-    hit = f.join(lines.select("path", "line_no", "commit", "author", "ts"), "path").where("line_no between start_line and end_line")
-    people = hit.groupBy("key", "author").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
-    main = people.groupBy("key").agg(F.max_by("author", F.struct("n", "first")).alias("main_author"), F.count("*").alias("headcount"))
-    own = hit.groupBy("key").agg(
+    hit = dealt(f, tasks, "path").join(dealt(lines.select("path", "line_no", "commit", "author", "ts"), tasks, "path"), "path").where("line_no between start_line and end_line")
+    people = hit.groupBy("path", "key", "author").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    main = people.groupBy("path", "key").agg(F.max_by("author", F.struct("n", "first")).alias("main_author"), F.count("*").alias("headcount"))
+    own = hit.groupBy("path", "key").agg(
         F.countDistinct("commit").alias("commits"),
         F.max_by("author", F.struct("ts", -F.col("line_no"))).alias("last_author"),
         days_since(F.min("ts"), now).alias("age"),
         days_since(F.max("ts"), now).alias("touched"),
     )
-    return f.select("key").join(own, "key", "left").join(main, "key", "left")
+    return f.select("key").join(own.drop("path"), "key", "left").join(main.drop("path"), "key", "left")
 
 
-def headcounts(lines: DataFrame) -> DataFrame:
+def headcounts(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per path: distinct authors (empty names do not count) and main author, as in ``blame_ranges``."""
-    people = lines.where("author is not null and cast(author as string) <> ''").groupBy("path", "author").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    named = lines.select("path", "author", "line_no").where("author is not null and cast(author as string) <> ''")
+    people = dealt(named, tasks, "path").groupBy("path", "author").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
     return people.groupBy("path").agg(F.count("*").alias("headcount"), F.max_by("author", F.struct("n", "first")).alias("main_author"))
 
 
