@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from repolith.llm import bpe, exact_dedup, mixing, near_dedup, simhash, toxicity
 from repolith.llm.common import read_table, remove_folder, shared_folder
 from repolith.llm.queries import tokenizer_path
 
@@ -33,11 +33,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five-word shingles, Jaccard 0.8), that of the smallest identifier.
+    """One document of each component of near duplicates, that of the smallest identifier.
 
-    Null texts and texts without words are near each other; a component without identifiers keeps one row too.
+    Fingerprints within two bits are linked by the Gray-order index, as in ``op10_gray_simhash``. Texts that these miss
+    are linked at a Jaccard similarity of 0.8 of their five-word shingles. Null texts and texts without words are near each other; a component without identifiers keeps one row too.
     """
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, linked=simhash.text_links(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,8 +255,11 @@ def neighbours(entries: DataFrame, similarity: float, turn: int) -> DataFrame:
     return tried.select(F.least("key", "key_before").alias("u"), F.greatest("key", "key_before").alias("v"))
 
 
-def near_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> Kept:
-    """``key, root`` of every text: the components of all near pairs of different texts, by any of their keys."""
+def near_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, linked: DataFrame | None = None) -> Kept:
+    """``key, root`` of every text: the components of all near pairs of different texts, by any of their keys.
+
+    ``linked``: pairs ``u, v`` of keys that are known to be near; what they join is not searched again.
+    """
     made = Kept(add_prefixes(docs, text_col, shingle, similarity), "prefixes")
     # texts of one and the same set are linked, and one of them stands for all
     same = made.frame.groupBy("whole").agg(F.min("key").alias("first"))
@@ -264,17 +267,20 @@ def near_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     first = made.frame.join(same.select(F.col("first").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     rows = Kept(first, "sets")
     made.remove()
+    if linked is not None:
+        roots = settle(roots, linked)
     nodes = rows.frame.select("key", "n", "bits")
 
     entries = rows.frame.select("key", "n", "fp", F.posexplode("prefix").alias("at", "s"))
     group = Window.partitionBy("s")
-    entries = Kept(entries.withColumn("members", F.count("*").over(group)).where("members > 1").drop("members").withColumn("root", F.col("key")), "entries")
+    entries = entries.join(roots.frame, "key") if linked is not None else entries.withColumn("root", F.col("key"))
+    several = (F.min("root").over(group) != F.max("root").over(group)).alias("several")
+    entries = Kept(entries.select("*", several).where("several").drop("several"), "entries")
     for turn in range(TURNS):
         found = confirm(neighbours(entries.frame, similarity, turn), nodes, docs, text_col, shingle, similarity)
         roots = settle(roots, found.frame)
         found.remove()
         # a shingle whose texts are one component by now has nothing to add
-        several = (F.min("root").over(group) != F.max("root").over(group)).alias("several")
         left = entries.frame.drop("root").join(roots.frame, "key")
         left = Kept(left.select("*", several).where("several").drop("several"), "entries")
         entries.remove()
@@ -292,9 +298,9 @@ def near_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     return roots
 
 
-def rooted(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def rooted(docs: DataFrame, text_col: str, shingle: int, similarity: float, linked: DataFrame | None = None) -> DataFrame:
     """``key, root`` of every text."""
-    return near_roots(docs, text_col, shingle, similarity).frame
+    return near_roots(docs, text_col, shingle, similarity, linked).frame
 
 
 def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -309,11 +315,12 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return keys.join(named.join(smallest, "root").select("key", "component"), "key").select("id", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, linked: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest identifier; columns as they came.
 
     Of different texts under that identifier the one with the least hash stays, and one of rows that repeat
-    both. A component without identifiers keeps one row too. An empty table gives an empty result.
+    both. A component without identifiers keeps one row too. An empty table gives an empty result. ``linked``:
+    pairs ``u, v`` of keys of texts that are near whatever their similarity.
     """
     keys = docs.select(F.col(id_col).alias("id"), key_of(F.col(text_col)).alias("key"))
-    return keep_first(docs, keys.join(rooted(docs, text_col, shingle, similarity), "key"), id_col, text_col)
+    return keep_first(docs, keys.join(rooted(docs, text_col, shingle, similarity, linked), "key"), id_col, text_col)

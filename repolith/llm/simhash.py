@@ -244,6 +244,19 @@ def keep_first(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -
     return rows.withColumn("place", place).where("place = 1").select("row.*")
 
 
+def text_links(docs: DataFrame, text_col: str = "text", most: int = MOST_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """Links ``u, v`` of keys of texts whose components are those that the fingerprints link, each text once but for the first."""
+    texts = docs.select(key_of(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    prints = Kept(add_fingerprints(texts, "key", "text", shingle), "prints")
+    roots = components(find_links(prints.frame.select("fp").distinct(), most))
+    rooted = prints.frame.distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("id").alias("key"), F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("key").alias("u")).withColumnRenamed("root", "of")
+    found = rooted.join(least, F.col("root") == F.col("of")).where("u <> key").select("u", F.col("key").alias("v"))
+    links = Kept(found, "print-links")
+    prints.remove()
+    return links.frame
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component of fingerprints, that of the smallest identifier; columns as they came.
 

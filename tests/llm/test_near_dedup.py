@@ -7,7 +7,7 @@ import pytest
 from conftest import doc
 
 import corpus_pipeline
-from repolith.llm import near_dedup
+from repolith.llm import near_dedup, simhash
 
 
 def plain_set(text):
@@ -70,3 +70,13 @@ def test_stage_drops_what_fingerprints_miss(spark, make_docs):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
     assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_stage_takes_what_the_gray_index_links(spark, make_docs):
+    """Fingerprints count repeats and sets do not: one and the same line over and over decides the fingerprint."""
+    line = "one line of words that comes again and again " * 40
+    rows = [doc(k, f"{line} {' '.join(f'own{k}x{i}' for i in range(12))}") for k in range(6)] + [doc(9, " ".join(f"w{k}" for k in range(50)))]
+    docs = make_docs(rows)
+    marked = {r.id: r.component for r in simhash.mark_near_duplicates(docs).collect()}
+    assert len(set(marked.values())) < 7 == near_dedup.mark_near_duplicates(docs).select("component").distinct().count()
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(marked.values())
