@@ -97,3 +97,47 @@ def test_rounds_are_dropped_once_nothing_reads_them(spark, tmp_path):
     finally:
         lineage.drop = of
     assert got == {k: (0, k) for k in range(40)} and len(dropped) >= 6
+
+
+def test_files_that_share_a_path_are_one_file_by_place_too(spark, tmp_path):
+    from repolith import queries
+    from repolith.sources import driver_tables as t
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("nation", "region", "part", "orders", "documents", "labels"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    # two files a path, which have no part in common
+    spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 2 = l_suppkey % 2").write.parquet(str(tmp_path / "lineitem.parquet"))
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    s.withColumn("s_name", F.concat(F.lit("S"), F.expr("s_suppkey div 2"))).withColumn("s_nationkey", F.lit(1).cast(s.schema["s_nationkey"].dataType)).write.parquet(str(tmp_path / "supplier.parquet"))
+    sf = str(tmp_path)
+    f = t.functions(spark, sf)
+    placed = t.placed_functions(spark, sf, t.places(spark, sf))
+    assert sorted(map(tuple, placed.select(f.columns).collect()), key=str) == sorted(map(tuple, f.collect()), key=str)
+    by_place = queries.tables(spark, sf)
+    by_path = plan.Tables(f, by_place.edges, by_place.nodes, t.blame_lines(spark, sf), queries.key_of_readings(spark, sf, f), by_place.now, by_place.windows)
+    got, want = (sorted(map(tuple, plan.build(x).collect()), key=str) for x in (by_place, by_path))
+    assert got == want and got
+    by_place.versions, by_path.versions = t.placed_versions(spark, sf, placed), t.body_versions(spark, sf)
+    got, want = (sorted(map(tuple, plan.build(x, ["commits"]).select("key", "commits").collect()), key=str) for x in (by_place, by_path))
+    assert got == want and any(commits for _, commits in got)
+
+
+def test_facts_read_nothing_for_fields_that_nobody_asked_for(spark, monkeypatch):
+    from repolith import queries
+
+    for name in ("degrees", "under_test"):
+        monkeypatch.setattr(graph, name, lambda *_: 1 / 0)
+    monkeypatch.setattr(plan, "line_ages", lambda *_: 1 / 0)
+    assert queries.edited_facts(spark, "/root/testdata/sf0.001").where("commits > 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["rule_catalog_counts", "rules_overview", "rule_mentions", "rule_report_top50", "rule_marginal_only", "merge_findings"])
+def test_facts_are_stored_before_they_are_read_twice(spark, monkeypatch, name):
+    from repolith import queries
+
+    kept, of = [], getattr(graph, "stored", None)
+    monkeypatch.setattr(graph, "stored", lambda df: (kept.append(of(df)), kept[-1])[1], raising=False)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    # the last one holds hits, or the subjects that four steps read
+    assert kept and (kept[-1].columns[0] == "rule" or {"key", "kind"} <= set(kept[-1].columns))
