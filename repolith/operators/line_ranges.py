@@ -5,7 +5,8 @@ before it added and removed, and a range that meets a hunk takes in the lines th
 lines were all added by a commit began there.
 
 A file's commits follow one another, so they are read in their order; files are dealt over the cluster, and a task
-holds one commit's hunks and the ranges asked of one file, whatever the length of the file's history.
+holds a fixed number of rows, one commit's hunks and the ranges asked of one file, whatever the length of the file's
+history. The files of these rows go back side by side, a commit of each at a time.
 """
 
 from __future__ import annotations
@@ -20,67 +21,130 @@ from pyspark.sql import functions as F
 ASKED, HUNK = 0, 1
 TOUCHED = "file string, ask string, idx long, start long, end long, added long, removed long, began boolean"
 NAMES = [c.split(" ")[0] for c in TOUCHED.split(", ")]
+#: Rows whose files go back together, and rows of the history that leave a task at a time.
+TOGETHER, TOLD = 200_000, 50_000
+
+
+class Commits:
+    """Hunks (old start, old lines, new start, new lines) of many commits, in the order of commit and line."""
+
+    def __init__(self, hunks: np.ndarray, first: np.ndarray):
+        self.old, self.old_n, self.new, self.new_n = hunks
+        self.first, self.end = first, np.r_[first[1:], len(self.old)].astype(np.int64)
+        # where a hunk has no lines on a side, its start there is the line that it stands behind
+        self.last = np.where(self.new_n > 0, self.new + self.new_n - 1, self.new)
+        self.moved, self.added, self.removed = (np.r_[0, np.cumsum(x)] for x in (self.old_n - self.new_n, self.new_n, self.old_n))
+        self.lines = np.unique(self.last)
+        self.places = np.repeat(np.arange(len(first)), self.end - first) * (len(self.lines) + 1) + np.searchsorted(self.lines, self.last)
+
+    def behind(self, commit: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The first hunk of a commit that does not end before a line."""
+        return np.searchsorted(self.places, commit * (len(self.lines) + 1) + np.searchsorted(self.lines, line))
+
+    def step_back(self, commit: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ranges before the commit that each is at, and what of it met them.
+
+        Gives the new starts and ends (a range that began here ends before it starts), whether it was met, and the lines
+        added and removed in it.
+        """
+        take = lambda of, at: np.take(of, at, mode="clip")
+        first, stop = self.first[commit], self.end[commit]
+        at_start, at_end = self.behind(commit, start), self.behind(commit, end)
+        inside = lambda at, line: (at < stop) & (take(self.new_n, at) > 0) & (take(self.new, at) <= line)
+        in_start, in_end = inside(at_start, start), inside(at_end, end)
+        moved = lambda at: self.moved[at] - self.moved[first]
+        back_start = np.where(in_start, take(self.old, at_start) + (take(self.old_n, at_start) == 0), start + moved(at_start))
+        back_end = np.where(in_end, take(self.old, at_end) + take(self.old_n, at_end) - (take(self.old_n, at_end) > 0), end + moved(at_end))
+        until = at_end + in_end
+        more = self.added[until] - self.added[at_start]
+        more = more - np.where(in_start, start - take(self.new, at_start), 0) - np.where(in_end, take(self.last, at_end) - end, 0)
+        return back_start, back_end, until > at_start, more, self.removed[until] - self.removed[at_start]
 
 
 def step_back(start: np.ndarray, end: np.ndarray, hunks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ranges before a commit with these hunks (old start, old lines, new start, new lines; in order), and what of it met them.
-
-    Where a hunk has no lines on a side, its start there is the line that it stands behind. Gives the new starts and
-    ends (a range that began here ends before it starts), whether it was met, and the lines added and removed in it.
-    """
-    old, old_n, new, new_n = hunks.T
-    last = np.where(new_n > 0, new + new_n - 1, new)
-    moved = np.r_[0, np.cumsum(old_n - new_n)]
-    added, removed = np.r_[0, np.cumsum(new_n)], np.r_[0, np.cumsum(old_n)]
-    # the first hunk that does not end before the line
-    at_start, at_end = np.searchsorted(last, start), np.searchsorted(last, end)
-    inside = lambda at, line: (at < len(hunks)) & (np.take(new_n, at, mode="clip") > 0) & (np.take(new, at, mode="clip") <= line)
-    in_start, in_end = inside(at_start, start), inside(at_end, end)
-    take = lambda of, at: np.take(of, at, mode="clip")
-    back_start = np.where(in_start, take(old, at_start) + (take(old_n, at_start) == 0), start + moved[at_start])
-    back_end = np.where(in_end, take(old, at_end) + take(old_n, at_end) - (take(old_n, at_end) > 0), end + moved[at_end])
-    until = at_end + in_end
-    more = added[until] - added[at_start]
-    more = more - np.where(in_start, start - take(new, at_start), 0) - np.where(in_end, take(last, at_end) - end, 0)
-    return back_start, back_end, until > at_start, more, removed[until] - removed[at_start]
+    """Ranges before one commit with these hunks, a row each; see ``Commits.step_back``."""
+    return Commits(hunks.T, np.zeros(1, np.int64)).step_back(np.zeros(len(start), np.int64), start, end)
 
 
 def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of file, kind, newest commit and line: ranges first, then hunks."""
-    file, names = None, []
-    start, end = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    idx, waiting = None, []
-
-    def commit() -> pa.RecordBatch | None:
-        nonlocal start, end, names, waiting
-        told, waiting = waiting, []
-        # most commits of a file lie behind the ranges' beginnings
-        if not told or not names:
-            return None
-        hunks = np.array(told, np.int64).reshape(-1, 4)
-        back_start, back_end, met, added, removed = step_back(start, end, hunks)
-        began = back_start > back_end
-        told = np.flatnonzero(met)
-        out = [pa.array([file] * len(told), pa.string()), pa.array([names[k] for k in told], pa.string()), pa.array(np.full(len(told), idx)), *(pa.array(x[told]) for x in (start, end, added, removed, began))]
-        stay = np.flatnonzero(~began)
-        start, end, names = back_start[stay], back_end[stay], [names[k] for k in stay]
-        return pa.RecordBatch.from_arrays(out, NAMES)
+    """Rows in the order of file, kind, newest commit and line: ranges first, then hunks.
+
+    The files of some rows go back together, each by a commit of its own a step. Of the last file, which may go on in the
+    next rows, the ranges are kept, and the rows of its last commit.
+    """
+    held: list[pa.RecordBatch] = []
+    #: the file that was last and its ranges: names, starts and ends
+    left: tuple[str | None, pa.Array, np.ndarray, np.ndarray] = (None, pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def back(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal left
+        file, kind, idx, ask, *lines = (c.combine_chunks() for c in table.columns)
+        if any(c.null_count for c in lines):
+            raise ValueError("a hunk or a range without its lines")
+        kind, idx, *lines = (c.to_numpy() for c in (kind, idx, *lines))
+        moved = file_moves(file)
+        number = np.r_[0, np.cumsum(moved)]
+        heads = np.r_[0, np.flatnonzero(moved) + 1]
+        asked, hunk = np.flatnonzero(kind == ASKED), np.flatnonzero(kind == HUNK)
+        names, of, start, end = ask.take(pa.array(asked)), number[asked], lines[0][asked], lines[1][asked]
+        if left[0] == file[0].as_py():
+            names = pa.concat_arrays([left[1], names])
+            of, start, end = np.r_[np.zeros(len(left[2]), np.int64), of], np.r_[left[2], start], np.r_[left[3], end]
+        fresh = np.r_[True, (number[hunk][1:] != number[hunk][:-1]) | (idx[hunk][1:] != idx[hunk][:-1])] if len(hunk) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        commits = Commits(np.array([x[hunk] for x in lines]), first)
+        seq, whose = idx[hunk][first], number[hunk][first]
+        at, until = np.searchsorted(whose, np.arange(len(heads))), np.searchsorted(whose, np.arange(len(heads)), "right")
+        who, step, out, many = np.arange(len(of)), 0, [], 0
+
+        def told() -> pa.RecordBatch:
+            rows, *more = (np.concatenate(x) for x in zip(*out, strict=True))
+            columns = [file.take(pa.array(heads[of[rows]])), names.take(pa.array(rows)), *map(pa.array, more)]
+            return pa.RecordBatch.from_arrays(columns, NAMES)
+
+        while len(who := who[at[of[who]] + step < until[of[who]]]):
+            commit = at[of[who]] + step
+            back_start, back_end, met, added, removed = commits.step_back(commit, start[who], end[who])
+            began = back_start > back_end
+            out.append((who[met], seq[commit[met]], start[who[met]], end[who[met]], added[met], removed[met], began[met]))
+            many += int(met.sum())
+            start[who], end[who] = back_start, back_end
+            # most commits of a file lie behind the ranges' beginnings
+            who, step = who[~began], step + 1
+            if many >= TOLD:
+                yield told()
+                out, many = [], 0
+        if many:
+            yield told()
+        stay = np.flatnonzero((of == len(heads) - 1) & (start <= end))
+        left = (file[-1].as_py(), names.take(pa.array(stay)), start[stay], end[stay])
+
+    def whole(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        table = pa.Table.from_batches(held)
+        upto = len(table)
+        if not last:
+            # a commit may go on in the next batch
+            number, idx = np.r_[0, np.cumsum(file_moves(table.column(0).combine_chunks()))], table.column(2).to_numpy()
+            ends = np.flatnonzero((number[1:] != number[:-1]) | (idx[1:] != idx[:-1]))
+            upto = int(ends[-1]) + 1 if len(ends) else 0
+        if upto:
+            yield from back(table.slice(0, upto))
+        held = table.slice(upto).combine_chunks().to_batches()
 
     for batch in batches:
-        for f, kind, i, ask, *lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if f != file or i != idx:
-                if (done := commit()) is not None:
-                    yield done
-                idx = i
-            if f != file:
-                file, names, start, end = f, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if kind == ASKED:
-                names.append(ask)
-                start, end = np.r_[start, lines[0]], np.r_[end, lines[1]]
-            elif names:
-                waiting.append(lines)
-    if (done := commit()) is not None:
-        yield done
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            yield from whole(False)
+    if held:
+        yield from whole(True)
+
+
+def file_moves(file: pa.Array) -> np.ndarray:
+    """Whether each row but the first is of another file than the one before."""
+    code = file.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return code[1:] != code[:-1]
 
 
 def range_history(asked: DataFrame, hunks: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from repolith.operators import line_ranges
 from repolith.sources import git
@@ -83,6 +84,27 @@ def test_ranges_equal_lines_followed_one_by_one(spark):
     assert any(w[-1][-1] for w in want.values()) and any(not w[-1][-1] for w in want.values())
 
 
+def test_files_go_back_side_by_side_wherever_their_rows_are_cut(monkeypatch):
+    rows = []
+    for f in "abcdefgh":
+        rows += [(f, line_ranges.ASKED, 1 << 62, f"{f}{k}", 5 * k + 1, 5 * k + 4, 0, 0) for k in range(4)]
+        rows += [(f, line_ranges.HUNK, idx, None, at, 1, at, 1) for idx in range(90, 0, -1) for at in (2, ord(f) % 16 + 3)]
+    names = ("file", "kind", "idx", "ask", "a", "b", "c", "d")
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))).cast(pa.schema([(n, pa.string() if n in ("file", "ask") else pa.int64()) for n in names]))
+
+    def went(size):
+        out = list(line_ranges.carry(iter(table.to_batches(max_chunksize=size))))
+        return sorted(x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), len(out)
+
+    got, many = went(1000)
+    # a commit is no batch of its own
+    assert len(got) > 8 * 90 and many < 8
+    for together, told, size in ((1, 1, 1), (7, 3, 2), (100, 40, 30)):
+        monkeypatch.setattr(line_ranges, "TOGETHER", together)
+        monkeypatch.setattr(line_ranges, "TOLD", told)
+        assert went(size)[0] == got
+
+
 def test_edges_of_a_range():
     one = lambda s, e, *h: tuple(int(x[0]) for x in line_ranges.step_back(np.array([s]), np.array([e]), np.array(h)))
     # behind, before, and around an insertion of lines 5 and 6
